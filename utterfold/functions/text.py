@@ -6,10 +6,14 @@ Everything here stays inside the JVM; nothing needs a Python worker.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import bind
+
 # The characters Unicode counts as whitespace, as used for
 # stripping and splitting text. Spark's one-argument trim only knows the space.
 WHITESPACE = (
@@ -30,6 +34,9 @@ TOKEN_BREAKS = (
     r"|\b(?:can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na\b)))"
 )
 
+# Every text a break applies to contains one of these.
+_BREAK_HINTS = ("annot", "mme", "nna", "gotta", *"«“‘„»”’")
+
 # The common English stopword list of 179 words.
 ENGLISH_STOPWORDS = tuple(
     """
@@ -63,7 +70,13 @@ def clean_punct(col: Column) -> Column:
 
 
 def _spaced(cleaned: Column) -> Column:
-    return F.split(F.regexp_replace(cleaned, TOKEN_BREAKS, " $1 "), " ", -1)
+    # plain substring search is far cheaper than the pattern, and most texts have no break
+    def broken(text: Column) -> Column:
+        hinted = reduce(or_, [F.contains(text, F.lit(hint)) for hint in _BREAK_HINTS])
+        spread = F.regexp_replace(text, TOKEN_BREAKS, " $1 ")
+        return F.split(F.when(hinted, spread).otherwise(text), " ", -1)
+
+    return bind(cleaned, broken)
 
 
 def tokens(cleaned: Column) -> Column:

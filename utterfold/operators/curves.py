@@ -6,7 +6,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .running import running_before
 
 POOLED = -1  # label_id of the curve over all labels taken together
@@ -51,45 +50,47 @@ def _collapse(exploded: DataFrame) -> DataFrame:
     )
 
 
-def with_pooled(counts: DataFrame) -> DataFrame:
-    """Add the pooled curve over all labels under the id ``POOLED``."""
+def _with_pooled(counts: DataFrame) -> DataFrame:
     pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return counts.unionByName(pooled.select(F.lit(POOLED).alias("label_id"), "score", "pos", "neg"))
 
 
-def _bucketed(counts: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """Add ``bucket``, rising along falling scores, and ``falling``, the negated score.
+def _bucketizer(counts: DataFrame, rows_per_bucket: int) -> Bucketizer | None:
+    """Buckets rising along falling scores; none if a group fits one task.
 
     Bounds are approximate quantiles of the scores: they only balance the
-    buckets, results do not depend on them. A table that fits one task gets one
-    bucket.
+    buckets, results do not depend on them.
     """
-    falling = counts.withColumn("falling", -F.col("score"))
-    n_rows = falling.count()
-    n_buckets = min(_MAX_BUCKETS, -(-n_rows // rows_per_bucket))
+    n_buckets = min(_MAX_BUCKETS, -(-counts.count() // rows_per_bucket))
     if n_buckets <= 1:
-        return falling.withColumn("bucket", F.lit(0))
-    falling = cut_lineage(falling)
+        return None
     steps = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = falling.approxQuantile("falling", steps, 0.1 / n_buckets)
-    inner = sorted(set(bounds))
-    bucketizer = Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol="falling", outputCol="bucket"
+    bounds = counts.select((-F.col("score")).alias("falling")).approxQuantile(
+        "falling", steps, 0.1 / n_buckets
     )
-    return bucketizer.transform(falling)
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    return Bucketizer(splits=splits, inputCol="falling", outputCol="bucket")
 
 
-def ranking_curves(counts: DataFrame, rows_per_bucket: int = _ROWS_PER_BUCKET) -> DataFrame:
+def ranking_curves(
+    counts: DataFrame, pooled: bool = False, rows_per_bucket: int = _ROWS_PER_BUCKET
+) -> DataFrame:
     """``label_id, n_pos, n_neg, auc, ap`` per label of a score table.
 
-    Tied scores count half in the ROC area and form one step of the
-    precision-recall sum. Undefined areas are NaN: the ROC area without
-    positives or without negatives, average precision without positives.
+    ``pooled`` adds the curve over all labels under the id ``POOLED``. Tied
+    scores count half in the ROC area and form one step of the precision-recall
+    sum. Undefined areas are NaN: the ROC area without positives or without
+    negatives, average precision without positives.
+
+    The table is read several times; pass it through ``cut_lineage`` first.
     """
+    buckets = _bucketizer(counts, rows_per_bucket)
+    rows = _with_pooled(counts) if pooled else counts
+    rows = rows.withColumn("falling", -F.col("score"))
     cumulative = running_before(
-        _bucketed(counts, rows_per_bucket),
+        buckets.transform(rows) if buckets else rows,
         ["label_id"],
-        "bucket",
+        "bucket" if buckets else None,
         [F.asc("falling")],
         sums={"pos_above": "pos", "neg_above": "neg"},
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, check_task
 from ..functions import vectors as V
+from ..session import cut_lineage
 from . import curves
 
 NAN = float("nan")
@@ -172,7 +173,8 @@ def roc_auc_ovr(df: DataFrame, truth_col: str, logits_col: str) -> DataFrame:
     scored = df.select(
         F.col(truth_col).alias("truth"), V.softmax(F.col(logits_col)).alias("scores")
     )
-    areas = curves.ranking_curves(curves.class_score_counts(scored, "truth", "scores"))
+    counts = cut_lineage(curves.class_score_counts(scored, "truth", "scores"))
+    areas = curves.ranking_curves(counts)
     weight = F.col("n_pos").cast("double")
     row = areas.agg(_ratio(F.sum(F.col("auc") * weight), F.sum(weight), NAN).alias("roc_auc_ovr"))
     return _long(row, ["roc_auc_ovr"])
@@ -283,11 +285,11 @@ AP_METRICS = (
 
 def ranking_metrics(df: DataFrame, truth_col: str, score_col: str) -> DataFrame:
     """ROC areas and average precisions from one pass over the scores."""
-    return metrics_of_scores(curves.score_counts(df, truth_col, score_col))
+    return metrics_of_scores(cut_lineage(curves.score_counts(df, truth_col, score_col)))
 
 
 def metrics_of_scores(counts: DataFrame) -> DataFrame:
-    areas = curves.ranking_curves(curves.with_pooled(counts))
+    areas = curves.ranking_curves(counts, pooled=True)
     pooled = F.col("label_id") == curves.POOLED
     single = ~pooled
     weight = F.col("n_pos").cast("double")
@@ -382,7 +384,7 @@ def compute_metrics(
     by_row = scored.withColumn("pred", V.binarize(F.col("scores"), threshold)).agg(
         *_sample_averages(F.col("truth"), F.col("pred")), _mean_binary_loss("truth", "logits")
     )
-    counts = curves.score_counts(scored, "truth", "scores")
+    counts = cut_lineage(curves.score_counts(scored, "truth", "scores"))
     predicted = F.col("score") > threshold
 
     def rows(kind: str, when: Column) -> Column:

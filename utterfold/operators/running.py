@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def running_before(
     df: DataFrame,
     keys: Sequence[str],
-    block: str,
+    block: str | None,
     order: Sequence[Column],
     sums: dict[str, str] | None = None,
     maxima: dict[str, str] | None = None,
@@ -22,9 +22,21 @@ def running_before(
     along the order within a group: each block is summed up first, the small
     block table gets the totals before each block, and the rows then only need a
     window within their own block. No task ever holds a whole group.
+    Without a ``block`` every group must fit one task and is walked directly.
     Group keys must not be null. A sum before the first row is 0, a maximum null.
     """
     sums, maxima = sums or {}, maxima or {}
+    if block is None:
+        before = (
+            Window.partitionBy(*keys)
+            .orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return df.select(
+            *df.columns,
+            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(o) for o, s in sums.items()],
+            *[F.max(s).over(before).alias(o) for o, s in maxima.items()],
+        )
     block_keys = [*keys, block]
     totals = df.groupBy(*block_keys).agg(
         *[F.sum(src).alias(f"_own_{out}") for out, src in sums.items()],

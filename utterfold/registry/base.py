@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +58,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, shared among all cores: the small files are one row group each."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
+def corpus(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
     """``doc_id, text, label`` with a combined label."""
     labels = table(spark, folder, "labels")
     label = F.concat_ws(
@@ -66,16 +72,17 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("quality") == 1, F.lit("good")),
         F.when(F.col("toxic") == 1, F.lit("toxic")),
     )
+    source = source or table(spark, folder, "documents")
     return (
-        table(spark, folder, "documents")
-        .select("doc_id", "text", "lang")
+        source.select("doc_id", "text", "lang")
         .join(labels, "doc_id", "left")
         .select("doc_id", "text", label.alias("label"))
     )
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(spark, folder).withColumn("text", T.clean_punct(F.col("text")))
+    rows = corpus(spark, folder, documents(spark, folder))
+    return rows.withColumn("text", T.clean_punct(F.col("text")))
 
 
 def unpacked(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators.split import split_exact
-from .base import ALNUM, CORPUS, SOFTMAX, SPLIT, STOP, corpus, query, r6, scored
+from .base import ALNUM, CORPUS, SOFTMAX, SPLIT, STOP, corpus, documents, query, r6, scored
 from .base import sql_clean_punct, sql_tokens
 
 _SIDES = f"""{CORPUS}, {SPLIT}"""
@@ -22,7 +22,7 @@ cnt AS (SELECT term, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side
 
 
 def _sides(spark, folder):
-    return split_exact(corpus(spark, folder), 0.2, "doc_id")
+    return split_exact(corpus(spark, folder, documents(spark, folder)), 0.2, "doc_id")
 
 
 def _cleaned(spark, folder):

@@ -8,6 +8,7 @@ from ..config import MULTICLASS, MULTILABEL
 from ..functions import vectors as V
 from ..operators import curves, training_log
 from ..operators import metrics as M
+from ..session import cut_lineage
 from .base import EPOCHS, MULTILABEL as ML, SOFTMAX, big, epoch_log, query, r6, scored
 from .base import scored_multilabel
 
@@ -296,8 +297,8 @@ def average_precision(spark, folder):
 )
 def ranking_curves(spark, folder):
     """Small buckets, so that the offsets between buckets are really used."""
-    counts = curves.score_counts(_labelled(spark, folder), "truth", "scores")
-    areas = curves.ranking_curves(curves.with_pooled(counts), rows_per_bucket=500)
+    counts = cut_lineage(curves.score_counts(_labelled(spark, folder), "truth", "scores"))
+    areas = curves.ranking_curves(counts, pooled=True, rows_per_bucket=500)
     return areas.select(
         *big("label_id", "n_pos", "n_neg"), r6("auc").alias("auc"), r6("ap").alias("ap")
     )

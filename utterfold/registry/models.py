@@ -20,15 +20,18 @@ from ..plans.prepare import prepare
 from ..plans.train_evaluate import train_and_evaluate
 from ..session import scratch_path
 from ..streaming.scoring import score_stream, score_stream_with, write_answers
-from .base import corpus, query, r6, requests, table, unpacked
+from .base import corpus, documents, query, r6, requests, table
 from .scores import LETTER_SQL, LETTERS, LetterScorer
 
 _FIT = {"max_iter": 10, "n_features": 1 << 12}
 
 
 def _language_rows(spark, folder):
-    documents = table(spark, folder, "documents")
-    return documents.select("doc_id", "text", F.col("lang").alias("label"))
+    return documents(spark, folder).select("doc_id", "text", F.col("lang").alias("label"))
+
+
+def _parts(spark, folder):
+    return L.unpack_labels(corpus(spark, folder, documents(spark, folder)))
 
 
 def _language_model(spark, folder):
@@ -58,11 +61,11 @@ def multiclass(spark, folder):
 
 @query("fit_multilabel")
 def multilabel(spark, folder):
-    rows = unpacked(spark, folder)
+    rows = _parts(spark, folder)
     label_map = L.build_label_map(rows)
     encoded = L.encode_multilabel(rows, label_map)
     model = fit_multilabel(encoded, label_map, **_FIT)
-    logits = score(corpus(spark, folder).select("doc_id", "text"), model)
+    logits = score(documents(spark, folder).select("doc_id", "text"), model)
     return logits.select("doc_id", F.posexplode("logits").alias("label_id", "logit"))
 
 
@@ -88,7 +91,7 @@ def train_multiclass(spark, folder):
 
 @query("train_and_evaluate_multilabel")
 def train_multilabel(spark, folder):
-    return _train(spark, folder, MULTILABEL, unpacked(spark, folder), None)
+    return _train(spark, folder, MULTILABEL, _parts(spark, folder), None)
 
 
 def _request_stream(spark, folder):

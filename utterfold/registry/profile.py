@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..plans.profile_report import run_profile
-from .base import CLEANED, CORPUS, LENGTHS, WORDS, big, cleaned, corpus, query, r6, table
+from .base import CLEANED, CORPUS, LENGTHS, WORDS, big, cleaned, corpus, documents, query, r6, table
 
 
 def _lengths(spark, folder):
@@ -320,7 +320,7 @@ def frequency_ranks(spark, folder):
 )
 def profile_report(spark, folder):
     """One figure from each of several analyses of the full profile."""
-    report = run_profile(corpus(spark, folder), "doc_id")
+    report = run_profile(corpus(spark, folder, documents(spark, folder)), "doc_id")
     figures = [
         ("vocabulary_size", report["vocabulary_size"].select("vocab_size")),
         (

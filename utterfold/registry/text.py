@@ -16,6 +16,7 @@ from .base import (
     TOKENS,
     cleaned,
     corpus,
+    documents,
     joined,
     query,
     requests,
@@ -41,7 +42,7 @@ def clean_basic(spark, folder):
     f"SELECT doc_id, {sql_clean_punct('text')} AS text FROM documents",
 )
 def clean_punct(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", T.clean_punct(F.col("text")).alias("text")
     )
 
@@ -61,7 +62,7 @@ def cleanup_by_name(spark, folder):
     f"SELECT doc_id, {sql_clean_punct('text')} AS text FROM documents",
 )
 def cleanup_by_index(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     return C.apply_cleanup(docs, T.clean_punct, indices=[1, 9])
 
 

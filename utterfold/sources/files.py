@@ -76,7 +76,11 @@ def read_corpus(
     separators = F.length(_RAW) - F.length(F.replace(F.col(_RAW), F.lit(separator), F.lit("")))
     too_long = F.col(_RAW).isNotNull() & (separators >= len(columns))
     whole = F.when(
-        too_long, F.raise_error(F.concat(F.lit("more fields than columns: "), _RAW)).cast("boolean")
+        # names a data column too: Spark refuses a query on the raw record alone
+        too_long,
+        F.raise_error(
+            F.concat(F.lit("more fields than columns: "), _RAW, F.coalesce(columns[0], F.lit("")))
+        ).cast("boolean"),
     ).otherwise(F.lit(True))
     return mark_missing(df.filter(whole).select(*columns), na_tokens)
 
