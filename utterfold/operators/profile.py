@@ -128,12 +128,22 @@ def length_counts(
     distinct length, whatever the size of the corpus or of its largest class.
     """
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
-    cleaned = F.col(text_col)
-    measured = df.select(
-        label.alias("label"),
-        T.char_length(cleaned).alias("char"),
-        T.word_length(cleaned).alias("word"),
+    return count_lengths(
+        df.select(label.alias("label"), *text_lengths(F.col(text_col)))
     )
+
+
+def text_lengths(cleaned: Column) -> list[Column]:
+    """``char`` and ``word`` length of one text."""
+    return [T.char_length(cleaned).alias("char"), T.word_length(cleaned).alias("word")]
+
+
+def count_lengths(measured: DataFrame) -> DataFrame:
+    """:func:`length_counts` of texts already reduced to ``label, char, word``.
+
+    When labels come from another table, measure first and join after: the join
+    then moves two numbers per text instead of the text.
+    """
     return (
         measured.unpivot("label", ["char", "word"], "measure", "length")
         .groupBy("label", "measure", "length")

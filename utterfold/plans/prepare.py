@@ -12,6 +12,7 @@ from ..functions.text import clean_basic
 from ..operators.cleanup import apply_cleanup
 from ..operators.labels import build_label_map, encode_multiclass, encode_multilabel, unpack_labels
 from ..operators.split import split_exact
+from ..session import cut_lineage
 from ..sources.files import read_corpus
 
 
@@ -57,6 +58,8 @@ def prepare(
         keys = [row_id] if row_id else None
     if keys is None and 0 < config.validation_ratio < 1:
         raise ValueError("splitting a multiclass corpus needs a row_id column")
+    # read by the search for the cut, by the fit and by the evaluation
+    encoded = cut_lineage(encoded)
     train, validation = split_exact(encoded, config.validation_ratio, keys or [], config.seed)
     wanted = [F.col(text), F.col("labels")]
     return PreparedCorpus(

@@ -63,8 +63,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
 
-def corpus(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
-    """``doc_id, text, label`` with a combined label."""
+def with_label(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Replace ``lang`` by the combined label of each document."""
     labels = table(spark, folder, "labels")
     label = F.concat_ws(
         "+",
@@ -72,19 +72,29 @@ def corpus(spark: SparkSession, folder: str, source: DataFrame | None = None) ->
         F.when(F.col("quality") == 1, F.lit("good")),
         F.when(F.col("toxic") == 1, F.lit("toxic")),
     )
+    kept = [c for c in rows.columns if c != "lang"]
+    return rows.join(labels, "doc_id", "left").select(*kept, label.alias("label"))
+
+
+def corpus(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text, label``."""
     source = source or table(spark, folder, "documents")
-    return (
-        source.select("doc_id", "text", "lang")
-        .join(labels, "doc_id", "left")
-        .select("doc_id", "text", label.alias("label"))
-    )
+    return with_label(spark, folder, source.select("doc_id", "text", "lang"))
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, text, label`` with punctuation removed."""
     rows = corpus(spark, folder, documents(spark, folder))
     return rows.withColumn("text", T.clean_punct(F.col("text")))
 
 
+def cleaned_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, text`` with punctuation removed: no join where no label is needed."""
+    return documents(spark, folder).select(
+        "doc_id", T.clean_punct(F.col("text")).alias("text")
+    )
+
+
 def unpacked(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.labels import unpack_labels
 

@@ -22,13 +22,12 @@ cnt AS (SELECT term, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side
 
 
 def _sides(spark, folder):
-    return split_exact(corpus(spark, folder, documents(spark, folder)), 0.2, "doc_id")
+    return split_exact(corpus(spark, folder).drop("text"), 0.2, "doc_id")
 
 
-def _cleaned(spark, folder):
-    return [
-        side.withColumn("text", clean_punct(F.col("text"))) for side in _sides(spark, folder)
-    ]
+def _text_sides(spark, folder):
+    sides = split_exact(documents(spark, folder), 0.2, "doc_id")
+    return [side.withColumn("text", clean_punct(F.col("text"))) for side in sides]
 
 
 @query(
@@ -52,7 +51,7 @@ def label_drift(spark, folder):
 
 def _terms(spark, folder):
     return [
-        P.without_stopwords(P.term_counts(side, "doc_id")) for side in _cleaned(spark, folder)
+        P.without_stopwords(P.term_counts(side, "doc_id")) for side in _text_sides(spark, folder)
     ]
 
 
@@ -97,7 +96,7 @@ def term_rank_change(spark, folder):
     FROM d GROUP BY measure, statistic""",
 )
 def length_drift(spark, folder):
-    a, b = (P.length_counts(side) for side in _cleaned(spark, folder))
+    a, b = (P.length_counts(side, label_col=None) for side in _text_sides(spark, folder))
     drift = D.length_drift(a, b)
     return drift.select(
         "measure", "statistic", *[r6(c).alias(c) for c in ("value_a", "value_b", "delta")]

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import profile as P
 from ..plans.profile_report import run_profile
-from .base import CLEANED, CORPUS, LENGTHS, WORDS, big, cleaned, corpus, documents, query, r6, table
+from .base import CORPUS, LENGTHS, WORDS, big, cleaned_texts, corpus, documents, query, r6
+from .base import table, with_label
 
 
 def _lengths(spark, folder):
-    return P.length_counts(cleaned(spark, folder))
+    # lengths first, labels after: the join never carries text
+    measured = documents(spark, folder).select(
+        "doc_id", "lang", *P.text_lengths(T.clean_punct(F.col("text")))
+    )
+    return P.count_lengths(with_label(spark, folder, measured))
 
 
 def _terms(spark, folder):
-    return P.term_counts(cleaned(spark, folder), "doc_id")
+    return P.term_counts(cleaned_texts(spark, folder), "doc_id")
 
 
 def _kept(spark, folder):
@@ -122,7 +128,7 @@ def length_histogram(spark, folder):
     FROM kept GROUP BY doc_id""",
 )
 def corpus_tokens(spark, folder):
-    bag = P.corpus_tokens(cleaned(spark, folder), "doc_id")
+    bag = P.corpus_tokens(cleaned_texts(spark, folder), "doc_id")
     return bag.groupBy("row_id").agg(
         F.count("*").alias("n_tokens"), F.count_distinct("token").alias("n_terms")
     )
@@ -135,7 +141,7 @@ def vocab_size(spark, folder):
 
 @query("approx_vocab_size")
 def approx_vocab_size(spark, folder):
-    return P.approx_vocab_size(cleaned(spark, folder), "doc_id")
+    return P.approx_vocab_size(cleaned_texts(spark, folder), "doc_id")
 
 
 _TERMS = f"""{WORDS}, terms AS (
@@ -181,7 +187,7 @@ def _gram_sql(n: int, source: str = "kept") -> str:
 
 
 def _grams(spark, folder, n, remove_stopwords=True):
-    grams = P.ngram_counts(cleaned(spark, folder), "doc_id", n, remove_stopwords=remove_stopwords)
+    grams = P.ngram_counts(cleaned_texts(spark, folder), "doc_id", n, remove_stopwords=remove_stopwords)
     return P.top_ngrams(grams).select(*big("rank"), "term", "n")
 
 

@@ -9,12 +9,11 @@ from ..operators import cleanup as C
 from ..operators.batches import python_cleanup
 from .base import (
     ALNUM,
-    CLEANED,
     CORPUS,
     REQUESTS,
     STOP,
     TOKENS,
-    cleaned,
+    cleaned_texts,
     corpus,
     documents,
     joined,
@@ -145,7 +144,7 @@ def gate_empty(spark, folder):
     f"WITH {TOKENS} SELECT doc_id, array_to_string(toks, ' ') AS tokens FROM tok",
 )
 def tokens(spark, folder):
-    return cleaned(spark, folder).select("doc_id", joined(T.tokens(F.col("text"))).alias("tokens"))
+    return cleaned_texts(spark, folder).select("doc_id", joined(T.tokens(F.col("text"))).alias("tokens"))
 
 
 @query(
@@ -156,7 +155,7 @@ def tokens(spark, folder):
     FROM tok""",
 )
 def kept_tokens(spark, folder):
-    return cleaned(spark, folder).select(
+    return cleaned_texts(spark, folder).select(
         "doc_id", joined(T.kept_tokens(F.col("text"))).alias("tokens")
     )
 
@@ -168,7 +167,7 @@ def kept_tokens(spark, folder):
     FROM words GROUP BY 1, 2""",
 )
 def token_tests(spark, folder):
-    exploded = cleaned(spark, folder).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    exploded = cleaned_texts(spark, folder).select(F.explode(T.tokens(F.col("text"))).alias("token"))
     return exploded.groupBy(
         T.is_alnum(F.col("token")).alias("alnum"), T.is_stopword(F.col("token")).alias("stopword")
     ).agg(F.count("*").alias("n"))
@@ -179,7 +178,7 @@ def token_tests(spark, folder):
     f"WITH {TOKENS} SELECT doc_id, array_to_string(toks[1:128], ' ') AS tokens FROM tok",
 )
 def truncate_tokens(spark, folder):
-    return cleaned(spark, folder).select(
+    return cleaned_texts(spark, folder).select(
         "doc_id", joined(T.truncate_tokens(T.tokens(F.col("text")))).alias("tokens")
     )
 
@@ -191,7 +190,7 @@ def truncate_tokens(spark, folder):
 )
 def text_lengths(spark, folder):
     text = F.col("text")
-    return cleaned(spark, folder).select(
+    return cleaned_texts(spark, folder).select(
         "doc_id",
         T.char_length(text).cast("bigint").alias("chars"),
         T.word_length(text).cast("bigint").alias("words"),
