@@ -75,11 +75,12 @@ def read_corpus(
     df = reader.schema(schema).option("columnNameOfCorruptRecord", _RAW).csv(path)
     separators = F.length(_RAW) - F.length(F.replace(F.col(_RAW), F.lit(separator), F.lit("")))
     too_long = F.col(_RAW).isNotNull() & (separators >= len(columns))
+    all_fields = F.concat_ws("", *[F.col(c) for c in columns])
     whole = F.when(
-        # names a data column too: Spark refuses a query on the raw record alone
+        # names every column: Spark only notices extra fields when it parses whole rows
         too_long,
         F.raise_error(
-            F.concat(F.lit("more fields than columns: "), _RAW, F.coalesce(columns[0], F.lit("")))
+            F.concat(F.lit("more fields than columns: "), _RAW, F.substring(all_fields, 1, 0))
         ).cast("boolean"),
     ).otherwise(F.lit(True))
     return mark_missing(df.filter(whole).select(*columns), na_tokens)
