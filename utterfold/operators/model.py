@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, MULTILABEL
 from ..functions import text as T
+from ..session import cut_lineage
 
 # Every label has its own coefficients on the driver, so a model has few labels
 # next to what a label map may hold.
@@ -114,6 +115,21 @@ def _regression(max_iter: int, reg_param: float) -> LogisticRegression:
     )
 
 
+def _training_features(
+    df: DataFrame, text_col: str, max_tokens: int, options: dict
+) -> tuple[DataFrame, PipelineModel]:
+    """Features and fitted pipeline.
+
+    The truncated tokens are all a fit needs of the text; they are written once
+    and every pass of the fit reads them instead of cleaning text again.
+    """
+    tokens = cut_lineage(
+        df.select("labels", model_tokens(F.col(text_col), max_tokens).alias("tokens"))
+    )
+    fitted = feature_pipeline(**options).fit(tokens)
+    return fitted.transform(tokens).select("features", "labels"), fitted
+
+
 def fit_multiclass(
     df: DataFrame,
     label_map: DataFrame,
@@ -125,9 +141,7 @@ def fit_multiclass(
 ) -> IntentModel:
     """Multinomial logistic regression on ``(text, labels)`` with integer labels."""
     labels = _label_list(label_map)
-    features, pipeline = featurize(
-        df.select(text_col, "labels"), text_col, max_tokens, **options
-    )
+    features, pipeline = _training_features(df, text_col, max_tokens, options)
     # the map fixes the number of classes, also when the data lack the last one
     nominal = {"ml_attr": {"type": "nominal", "vals": labels}}
     train = features.select("features", F.col("labels").cast("double").alias("label", metadata=nominal))
@@ -150,9 +164,7 @@ def fit_multilabel(
     smoothed odds instead of a fit.
     """
     labels = _label_list(label_map)
-    features, pipeline = featurize(
-        df.select(text_col, "labels"), text_col, max_tokens, **options
-    )
+    features, pipeline = _training_features(df, text_col, max_tokens, options)
     features = features.select("features", "labels").persist()
     try:
         positives = {

@@ -194,43 +194,33 @@ def length_histogram(lengths: DataFrame, bins: int = 50) -> DataFrame:
     The last bin is closed. Empty bins are listed. If all lengths are equal the
     range is widened by one half on both sides.
     """
-    counted = _overall(lengths)
-    bounds = counted.groupBy("measure").agg(
-        F.min("length").alias("lo"), F.max("length").alias("hi")
-    )
-    edges = bounds.select(
-        "measure",
-        "lo",
-        "hi",
-        F.when(F.col("lo") < F.col("hi"), F.col("lo")).otherwise(F.col("lo") - 0.5).alias("start"),
-        F.when(F.col("lo") < F.col("hi"), F.col("hi") - F.col("lo"))
-        .otherwise(F.lit(1.0))
-        .alias("width"),
-    )
-    grid = edges.select(
-        "measure",
-        "start",
-        "width",
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-    ).select(
-        "measure",
-        "bin",
-        (F.col("start") + F.col("width") * F.col("bin") / bins).alias("bin_start"),
-        (F.col("start") + F.col("width") * (F.col("bin") + 1) / bins).alias("bin_end"),
-    )
+    group = Window.partitionBy("measure")
+    lo, hi = F.min("length").over(group), F.max("length").over(group)
+    bounded = _overall(lengths).select("measure", "length", "n", lo.alias("lo"), hi.alias("hi"))
+    spans = F.col("lo") < F.col("hi")
     # integer division keeps the bin of a length exact
     position = F.when(
-        F.col("lo") < F.col("hi"),
-        F.expr(f"((length - lo) * {bins}L) div nullif(hi - lo, 0)"),
+        spans, F.expr(f"((length - lo) * {bins}L) div nullif(hi - lo, 0)")
     ).otherwise(F.lit(bins // 2))
     filled = (
-        counted.join(F.broadcast(bounds), "measure")
-        .select("measure", F.least(position, F.lit(bins - 1)).cast("int").alias("bin"), "n")
-        .groupBy("measure", "bin")
+        bounded.groupBy(
+            "measure", "lo", "hi", F.least(position, F.lit(bins - 1)).cast("int").alias("bin")
+        )
         .agg(F.sum("n").alias("n"))
+        .groupBy("measure", "lo", "hi")
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
     )
-    return grid.join(filled, ["measure", "bin"], "left").select(
-        "measure", "bin", "bin_start", "bin_end", F.coalesce("n", F.lit(0)).alias("n")
+    start = F.when(spans, F.col("lo")).otherwise(F.col("lo") - 0.5)
+    width = F.when(spans, F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    return filled.select(
+        "measure", "counts", start.alias("start"), width.alias("width"), every_bin
+    ).select(
+        "measure",
+        "bin",
+        (F.col("start") + F.col("width") * F.col("bin") / bins).alias("bin_start"),
+        (F.col("start") + F.col("width") * (F.col("bin") + 1) / bins).alias("bin_end"),
+        F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 
@@ -253,43 +243,28 @@ def length_box_by_class(lengths: DataFrame, k: int | None = 20) -> DataFrame:
     """
     known = lengths.filter(F.col("label").isNotNull())
     if k is not None:
-        sizes = known.filter(F.col("measure") == "char").groupBy("label").agg(
-            F.sum("n").alias("size")
-        )
+        # conditions inside the sum and an inner join keep both sides on one shuffle
+        texts = F.sum(F.when(F.col("measure") == "char", F.col("n")).otherwise(F.lit(0)))
+        sizes = known.groupBy("label").agg(texts.alias("size"))
         leading = sizes.orderBy(F.desc("size"), "label").limit(k).select("label")
-        known = known.join(F.broadcast(leading), "label", "left_semi")
-    boxes = known.groupBy("label", "measure").agg(
-        F.sum("n").alias("count"),
-        F.min("length").alias("min"),
-        F.percentile("length", [0.25, 0.5, 0.75], F.col("n")).alias("q"),
-        F.max("length").alias("max"),
-    ).select(
-        "label",
-        "measure",
-        "count",
-        "min",
-        F.get("q", F.lit(0)).alias("q25"),
-        F.get("q", F.lit(1)).alias("q50"),
-        F.get("q", F.lit(2)).alias("q75"),
-        "max",
+        known = known.join(F.broadcast(leading), "label")
+    group = Window.partitionBy("label", "measure")
+    quartiles = F.percentile("length", [0.25, 0.5, 0.75], F.col("n")).over(group)
+    boxed = known.select("label", "measure", "length", "n", quartiles.alias("q")).select(
+        "*", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q25", "q50", "q75"))]
     )
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col("length").between(F.col("q25") - reach, F.col("q75") + reach)
-    fences = (
-        known.join(boxes, ["label", "measure"])
-        .groupBy("label", "measure")
-        .agg(
-            F.min(F.when(inside, F.col("length"))).alias("low"),
-            F.max(F.when(inside, F.col("length"))).alias("high"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("n_outliers"),
-        )
-    )
-    # a whisker never ends inside the box
-    return boxes.join(fences, ["label", "measure"]).select(
-        *boxes.columns,
-        F.least(F.col("low").cast("double"), "q25").alias("whisker_low"),
-        F.greatest(F.col("high").cast("double"), "q75").alias("whisker_high"),
-        "n_outliers",
+    low = F.min(F.when(inside, F.col("length"))).cast("double")
+    high = F.max(F.when(inside, F.col("length"))).cast("double")
+    return boxed.groupBy("label", "measure", "q25", "q50", "q75").agg(
+        F.sum("n").alias("count"),
+        F.min("length").alias("min"),
+        F.max("length").alias("max"),
+        # a whisker never ends inside the box
+        F.least(low, F.col("q25")).alias("whisker_low"),
+        F.greatest(high, F.col("q75")).alias("whisker_high"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("n_outliers"),
     )
 
 
