@@ -30,18 +30,14 @@ def score_counts(df: DataFrame, truth_col: str, score_col: str) -> DataFrame:
 
 def class_score_counts(df: DataFrame, truth_col: str, score_col: str) -> DataFrame:
     """As :func:`score_counts` for class ids: each class against the rest."""
-    exploded = df.select(
-        F.col(truth_col).alias("truth"), F.posexplode(score_col).alias("label_id", "score")
-    )
-    return _collapse(
-        exploded.select(
-            "label_id",
-            F.struct(
-                F.col("score").cast("double").alias("score"),
-                (F.col("truth") == F.col("label_id")).alias("hit"),
-            ).alias("pair"),
-        )
+    truth = F.col(truth_col)
+    # exploding an expression, not a column: for a column Spark adds a filter on
+    # its size and pushes it down, computing the scores a second time
+    pairs = F.transform(
+        F.col(score_col),
+        lambda s, i: F.struct(s.cast("double").alias("score"), (truth == i).alias("hit")),
     )
+    return _collapse(df.select(F.posexplode(pairs).alias("label_id", "pair")))
 
 
 def _collapse(exploded: DataFrame) -> DataFrame:

@@ -42,6 +42,21 @@ def unpack_labels(
     return df.select(*[parts if name == label_col else F.col(name) for name in df.columns])
 
 
+def bounded_map(label_map: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """The same map, failing the query if it has more than ``max_labels`` rows.
+
+    At most one row more than that reaches the task that counts them, so what
+    comes out may be broadcast wherever the map came from.
+    """
+    limited = label_map.select("label", F.col("label_id").cast("int")).limit(max_labels + 1)
+    too_many = F.count("*").over(Window.partitionBy()) > max_labels
+    label_id = F.when(
+        too_many,
+        F.raise_error(F.lit(f"more than {max_labels} labels; raise max_labels")).cast("int"),
+    ).otherwise(F.col("label_id"))
+    return limited.select("label", label_id.alias("label_id"))
+
+
 def build_label_map(
     df: DataFrame, label_col: str = "label", max_labels: int = MAX_LABELS
 ) -> DataFrame:
@@ -55,13 +70,9 @@ def build_label_map(
         .filter(F.col("label").isNotNull())
         .distinct()
     )
-    bounded = distinct.limit(max_labels + 1)
-    number = F.row_number().over(Window.orderBy("label"))
-    label_id = F.when(
-        number > max_labels,
-        F.raise_error(F.lit(f"more than {max_labels} labels; raise max_labels")).cast("int"),
-    ).otherwise(number - 1)
-    return bounded.select("label", label_id.cast("int").alias("label_id"))
+    limited = distinct.limit(max_labels + 1)
+    numbered = F.row_number().over(Window.orderBy("label")) - 1
+    return bounded_map(limited.select("label", numbered.alias("label_id")), max_labels)
 
 
 def invert_label_map(label_map: DataFrame) -> DataFrame:
@@ -90,8 +101,8 @@ def label_names(label_map: DataFrame) -> Column:
 
 def _lookup(label_map: DataFrame) -> DataFrame:
     return F.broadcast(
-        label_map.select(
-            F.col("label").alias("_map_label"), F.col("label_id").cast("int").alias("_map_id")
+        bounded_map(label_map).select(
+            F.col("label").alias("_map_label"), F.col("label_id").alias("_map_id")
         )
     )
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,20 +106,13 @@ def unpacked(spark: SparkSession, folder: str) -> DataFrame:
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """``vec_id, truth, logits``: each vector times the mean vector of each class."""
     vectors = table(spark, folder, "embeddings")
-    means = (
-        vectors.select("label", F.posexplode("embedding").alias("i", "v"))
-        .groupBy("label", "i")
-        .agg(F.avg(F.col("v").cast("double")).alias("m"))
-        .groupBy("label")
-        .agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("row"))
+    vectors = vectors.withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    means = vectors.groupBy("label").agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("v")))).alias("row")
     )
     # ten class rows of fixed width
-    matrix = means.agg(
-        F.array_sort(F.collect_list(F.struct("label", F.col("row.m").alias("row"))))["row"]
-    ).scalar()
-    with_matrix = vectors.withColumn(
-        "v", F.transform("embedding", lambda x: x.cast("double"))
-    ).withColumn("matrix", matrix)
+    matrix = means.agg(F.array_sort(F.collect_list(F.struct("label", "row")))["row"]).scalar()
+    with_matrix = vectors.withColumn("matrix", matrix)
     logits = V.bind(
         F.col("v"),
         lambda v: F.transform(

@@ -10,6 +10,7 @@ from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators.split import split_exact
+from ..session import cut_lineage
 from .base import ALNUM, CORPUS, SOFTMAX, SPLIT, STOP, corpus, documents, query, r6, scored
 from .base import sql_clean_punct, sql_tokens
 
@@ -77,7 +78,8 @@ def vocab_drift(spark, folder):
     FROM r WHERE (at_a <= 25 AND n_a > 0) OR (at_b <= 25 AND n_b > 0)""",
 )
 def term_rank_change(spark, folder):
-    return D.term_rank_change(*_terms(spark, folder))
+    # read twice: side by side and for the ranks
+    return D.term_rank_change(*[cut_lineage(terms) for terms in _terms(spark, folder)])
 
 
 @query(

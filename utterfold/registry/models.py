@@ -20,7 +20,7 @@ from ..plans.prepare import prepare
 from ..plans.train_evaluate import train_and_evaluate
 from ..session import scratch_path
 from ..streaming.scoring import score_stream, score_stream_with, write_answers
-from .base import corpus, documents, query, r6, requests, table
+from .base import REQUESTS, corpus, documents, query, r6, requests, table
 from .scores import LETTER_SQL, LETTERS, LetterScorer
 
 _FIT = {"max_iter": 10, "n_features": 1 << 12}
@@ -69,12 +69,25 @@ def multilabel(spark, folder):
     return logits.select("doc_id", F.posexplode("logits").alias("label_id", "logit"))
 
 
-@query("model_saved_and_loaded")
+def _same_answers(one, other):
+    """``request_id, same`` for two sets of answers."""
+    one = one.select("request_id", F.to_json(F.struct("intents", "error")).alias("one"))
+    other = other.select("request_id", F.to_json(F.struct("intents", "error")).alias("other"))
+    joined = one.join(other, "request_id", "full_outer")
+    return joined.select("request_id", F.col("one").eqNullSafe(F.col("other")).alias("same"))
+
+
+_ALL_SAME = f"WITH {REQUESTS} SELECT request_id, true AS same FROM requests"
+
+
+@query("model_saved_and_loaded", _ALL_SAME)
 def model_round_trip(spark, folder):
+    """A loaded model answers every request as the fitted one did."""
     path = scratch_path(spark, "model")
-    save_model(_language_model(spark, folder), spark, path)
-    answers = score_stream(requests(spark, folder), load_model(spark, path))
-    return answers.select("request_id", F.inline("intents"))
+    model = _language_model(spark, folder)
+    save_model(model, spark, path)
+    asked = requests(spark, folder)
+    return _same_answers(score_stream(asked, model), score_stream(asked, load_model(spark, path)))
 
 
 def _train(spark, folder, task, rows, row_id):
@@ -119,6 +132,14 @@ def stream_model(spark, folder):
     return answers.select("request_id", F.inline("intents"))
 
 
+@query("score_stream_equals_batch", _ALL_SAME)
+def stream_equals_batch(spark, folder):
+    """The streamed answers are the batch answers."""
+    model = _language_model(spark, folder)
+    streamed = _drained(spark, score_stream(_request_stream(spark, folder), model))
+    return _same_answers(streamed, score_stream(requests(spark, folder), model))
+
+
 @query(
     "score_stream_with_user_scorer",
     f"""{LETTER_SQL}, p AS (

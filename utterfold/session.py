@@ -33,10 +33,13 @@ def build_session(master: str | None = None, app_name: str = "utterfold", **conf
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary one.
+    Only a local session that names none gets a temporary one; on a cluster
+    other machines could not read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="utterfold-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

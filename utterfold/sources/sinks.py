@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import MULTICLASS, check_task
-from ..operators.labels import MAX_LABELS
+from ..operators.labels import MAX_LABELS, bounded_map
 from .files import csv_options
 
 
@@ -31,13 +31,7 @@ def save_label_map(label_map: DataFrame, path: str) -> None:
 
 def load_label_map(spark: SparkSession, path: str, max_labels: int = MAX_LABELS) -> DataFrame:
     """The saved map. Like a built one it is bounded, so it may be broadcast."""
-    rows = spark.read.schema("label string, label_id int").json(path).limit(max_labels + 1)
-    too_many = rows.agg(F.count("*")).scalar() > max_labels
-    return rows.filter(
-        F.when(
-            too_many, F.raise_error(F.lit(f"more than {max_labels} labels")).cast("boolean")
-        ).otherwise(F.lit(True))
-    )
+    return bounded_map(spark.read.schema("label string, label_id int").json(path), max_labels)
 
 
 def save_metrics(metrics: DataFrame, run_id: str, split: str, path: str) -> None:
