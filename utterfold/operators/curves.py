@@ -82,9 +82,12 @@ def ranking_curves(
     """
     buckets = _bucketizer(counts, rows_per_bucket)
     rows = _with_pooled(counts) if pooled else counts
-    rows = rows.withColumn("falling", -F.col("score"))
+    # a null score has no rank
+    rows = rows.filter(F.col("score").isNotNull()).withColumn("falling", -F.col("score"))
+    if buckets:
+        rows = buckets.transform(rows).withColumn("bucket", F.col("bucket").cast("int"))
     cumulative = running_before(
-        buckets.transform(rows) if buckets else rows,
+        rows,
         ["label_id"],
         "bucket" if buckets else None,
         [F.asc("falling")],

@@ -64,8 +64,8 @@ def vocab_drift(terms_a: DataFrame, terms_b: DataFrame) -> DataFrame:
 def term_rank_change(terms_a: DataFrame, terms_b: DataFrame, n: int = 25) -> DataFrame:
     """Rank in both splits of every term among the top ``n`` of either.
 
-    The tables are read twice; store them first. The rank is one more than the number of terms with a larger count; a term a
-    split lacks has no rank there.
+    The rank is one more than the number of terms with a larger count; a term a
+    split lacks has no rank there. The tables are read twice; store them first.
     """
     sides = _side_by_side(terms_a, terms_b, "term", "n")
     top_a = sides.filter("n_a > 0").orderBy(F.desc("n_a"), "term").limit(n)

@@ -152,7 +152,8 @@ def accuracy(df: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
 
 def precision_recall_f1(df: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
     """Micro, macro and weighted; ``f1``, the primary metric, is the weighted one."""
-    names = [n for n in MULTICLASS_COUNT_METRICS if n.split("_")[0] in ("precision", "recall", "f1")]
+    kinds = ("precision", "recall", "f1")
+    names = [n for n in MULTICLASS_COUNT_METRICS if n.split("_")[0] in kinds]
     return _pick(multiclass_counts_metrics(df, truth_col, pred_col), names)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import MULTICLASS, MULTILABEL
 from ..functions import text as T
 from ..session import cut_lineage
+from .scoring import Scorer, score_with
 
 # Every label has its own coefficients on the driver, so a model has few labels
 # next to what a label map may hold.
@@ -70,7 +71,9 @@ class IntentModel:
     max_tokens: int = 128
     text_col: str = field(default="text")
 
-    def transform(self, df: DataFrame, text_col: str | None = None, out: str = "logits") -> DataFrame:
+    def transform(
+        self, df: DataFrame, text_col: str | None = None, out: str = "logits"
+    ) -> DataFrame:
         """Add one logit per label; batch or streaming, no Python worker involved."""
         column = text_col or self.text_col
         scored = self.features.transform(with_tokens(df, column, self.max_tokens))
@@ -144,7 +147,8 @@ def fit_multiclass(
     features, pipeline = _training_features(df, text_col, max_tokens, options)
     # the map fixes the number of classes, also when the data lack the last one
     nominal = {"ml_attr": {"type": "nominal", "vals": labels}}
-    train = features.select("features", F.col("labels").cast("double").alias("label", metadata=nominal))
+    label = F.col("labels").cast("double").alias("label", metadata=nominal)
+    train = features.select("features", label)
     head = _regression(max_iter, reg_param).setFamily("multinomial").fit(train)
     return IntentModel(MULTICLASS, labels, pipeline, [head], max_tokens, text_col)
 
@@ -233,6 +237,17 @@ def load_model(spark: SparkSession, path: str) -> IntentModel:
     )
 
 
-def score(df: DataFrame, model: IntentModel, text_col: str | None = None) -> DataFrame:
-    """Add logits from a fitted model."""
-    return model.transform(df, text_col)
+def score(
+    df: DataFrame,
+    model: IntentModel | Callable[[], Scorer],
+    text_col: str | None = None,
+    batch_size: int = 8,
+) -> DataFrame:
+    """Add logits from a fitted model, or from a user scorer given by its factory.
+
+    ``batch_size`` is the number of texts a user scorer gets at once; a fitted
+    model stays in the JVM and has no batches.
+    """
+    if isinstance(model, IntentModel):
+        return model.transform(df, text_col)
+    return score_with(df, model, text_col or "text", batch_size=batch_size)

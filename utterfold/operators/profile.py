@@ -238,8 +238,9 @@ def mean_length_by_class(lengths: DataFrame) -> DataFrame:
 def length_box_by_class(lengths: DataFrame, k: int | None = 20) -> DataFrame:
     """Box-plot numbers per class and measure, for the ``k`` most frequent classes.
 
-    The table is read twice; store it first. Whiskers end at the last length within 1.5 interquartile ranges of the box;
-    what lies beyond is counted in ``n_outliers``.
+    Whiskers end at the last length within 1.5 interquartile ranges of the box;
+    what lies beyond is counted in ``n_outliers``. The table is read twice;
+    store it first.
     """
     known = lengths.filter(F.col("label").isNotNull())
     if k is not None:

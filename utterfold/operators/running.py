@@ -51,7 +51,8 @@ def running_before(
         *[F.max(f"_own_{out}").over(earlier_blocks).alias(f"_off_{out}") for out in maxima],
     )
     same = [F.col(k) == F.col(f"_k_{k}") for k in block_keys]
-    joined = df.join(offsets, same, "inner")
+    # every row has its block; a left join adds no filter that would split the shuffles
+    joined = df.join(offsets, same, "left")
     earlier_rows = (
         Window.partitionBy(*block_keys)
         .orderBy(*order)

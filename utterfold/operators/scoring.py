@@ -150,7 +150,8 @@ def predict_table(
         "_names", names
     )
     if task == MULTICLASS:
-        added = [R.decode_label(V.argmax(F.col("_scores")), F.col("_names")).alias("predicted_label")]
+        best = R.decode_label(V.argmax(F.col("_scores")), F.col("_names"))
+        added = [best.alias("predicted_label")]
         if include_probabilities:
             added.append(F.array_max("_scores").alias("predicted_score"))
         return scored.select(*kept, *added)

@@ -62,6 +62,6 @@ def prepare(
     encoded = cut_lineage(encoded)
     train, validation = split_exact(encoded, config.validation_ratio, keys or [], config.seed)
     wanted = [F.col(text), F.col("labels")]
-    return PreparedCorpus(
-        train.select(*wanted), validation.select(*wanted) if validation is not None else None, label_map
-    )
+    if validation is not None:
+        validation = validation.select(*wanted)
+    return PreparedCorpus(train.select(*wanted), validation, label_map)

@@ -16,7 +16,9 @@ SESSION_CONF = {
 }
 
 
-def build_session(master: str | None = None, app_name: str = "utterfold", **conf: str) -> SparkSession:
+def build_session(
+    master: str | None = None, app_name: str = "utterfold", **conf: str
+) -> SparkSession:
     """A session with the settings the operators are written for.
 
     ``master`` is left to spark-submit when not given. Extra settings use their
