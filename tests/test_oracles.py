@@ -15,8 +15,12 @@ def connection():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    kinds, rows = spark_side(QUERIES[name](spark, FOLDER))
+    df = QUERIES[name](spark, FOLDER)
+    kinds, rows = spark_side(df)
     assert rows
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert costly not in plan
     if name in ORACLES:
         expected_kinds, expected = duck_side(connection, ORACLES[name])
         assert set(kinds) == set(expected_kinds)

@@ -21,7 +21,9 @@ WHITESPACE = (
     "           "
     "    　"
 )
-WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# Runs to be replaced by one space; a single space between words is left alone,
+# which spares a replacement per word.
+WHITESPACE_RUN = r"(?U)(?! [^\s\x1c-\x1f])[\s\x1c-\x1f]++"
 
 # The 32 ASCII punctuation marks, as a character class.
 PUNCTUATION_RUN = r"[!-/:-@\[-`{-~]+"
