@@ -133,6 +133,15 @@ def test_full_profile(corpus, tmp_path):
     assert set(run_profile(corpus, "id", deep=False)) < set(report)
 
 
+def test_profile_drops_incomplete_rows_and_cleans(spark):
+    rows = [(1, "Hello, hello!", "a"), (2, "x", None), (3, None, "b")]
+    report = run_profile(spark.createDataFrame(rows, "id bigint, text string, label string"), "id")
+    assert report["shape"].first()["n_rows"] == 2
+    words = [tuple(r) for r in report["most_common_words"].collect()]
+    assert words == [(1, "hello", 2)]
+    assert {r["n_missing"] for r in report["missing_values"].collect()} == {0}
+
+
 def test_drift(spark):
     a = spark.createDataFrame([("x",)] * 3 + [("y",)], "label string")
     b = spark.createDataFrame([("x",), ("z",)], "label string")

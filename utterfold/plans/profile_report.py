@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOPWORDS, clean_punct
 from ..operators import profile as P
+from ..operators.cleanup import apply_cleanup
 from ..session import cut_lineage
 
 
@@ -24,12 +25,14 @@ def run_profile(
 ) -> dict[str, DataFrame]:
     """Every analysis of a corpus, by name.
 
+    ``clean`` removes punctuation from the text and drops incomplete rows first.
+
     The corpus is read once for lengths, once for terms and once per n-gram
     size. What those passes leave is written to the shared folder, and all
     analyses start from there.
     """
     if clean:
-        df = df.withColumn(text_col, clean_punct(F.col(text_col)))
+        df = apply_cleanup(df, clean_punct, [text_col])
     lengths = cut_lineage(P.length_counts(df, text_col, label_col))
     terms = cut_lineage(P.term_counts(df, row_id, text_col, words))
     kept = P.without_stopwords(terms)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, MULTILABEL, CorpusConfig
@@ -20,7 +19,8 @@ from ..plans.prepare import prepare
 from ..plans.train_evaluate import train_and_evaluate
 from ..session import scratch_path
 from ..streaming.scoring import score_stream, score_stream_with, write_answers
-from .base import REQUESTS, corpus, documents, query, r6, requests, table
+from .base import CORPUS, REQUESTS, corpus, documents, query, r6, requests, table
+from .base import sql_clean_basic, sql_clean_punct, sql_tokens
 from .scores import LETTER_SQL, LETTERS, LetterScorer
 
 _FIT = {"max_iter": 10, "n_features": 1 << 12}
@@ -40,15 +40,32 @@ def _language_model(spark, folder):
     return fit_multiclass(L.encode_multiclass(rows, label_map), label_map, **_FIT)
 
 
-@query("featurize")
+@query(
+    "featurize",
+    f"""WITH {CORPUS}, cleaned AS (
+      SELECT doc_id, {sql_clean_punct(sql_clean_basic("text"))} AS text FROM corpus),
+    words AS (SELECT doc_id, unnest(({sql_tokens("text")})[1:128]) AS term FROM cleaned),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    weighted AS (
+      SELECT doc_id, count(*) AS n_terms, sum(tf * ln((n + 1) / (df + 1))) AS weight
+      FROM tf JOIN df USING (term), (SELECT count(*) AS n FROM documents) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_terms, 0) AS n_terms, round(coalesce(weight, 0), 6) + 0.0 AS weight
+    FROM documents LEFT JOIN weighted USING (doc_id)""",
+)
 def features(spark, folder):
+    """Number of features and their total weight per document, from the sparse vectors."""
     rows = _language_rows(spark, folder).select("doc_id", "text")
-    featured, _ = featurize(rows, n_features=1 << 12)
-    weights = vector_to_array(F.col("features"))
-    return featured.select(
+    featured, _ = featurize(rows)
+    sparse = F.from_json(
+        F.to_json(F.struct("features")),
+        "features struct<indices: array<int>, values: array<double>>",
+    )["features"]
+    opened = featured.select("doc_id", sparse.alias("sparse"))
+    return opened.select(
         "doc_id",
-        F.size(F.filter(weights, lambda w: w > 0)).alias("n_features"),
-        r6(array_sum(weights)).alias("weight"),
+        F.size("sparse.indices").cast("bigint").alias("n_terms"),
+        r6(array_sum(F.col("sparse.values"))).alias("weight"),
     )
 
 
