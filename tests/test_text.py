@@ -110,6 +110,22 @@ def test_apply_cleanup(spark):
     assert rows(C.apply_cleanup(df, None)) == [(" A ", "x", 1)]
 
 
+def test_drop_incomplete_counts_nan_as_missing(spark):
+    rows_in = [(1.0, "a", [1]), (float("nan"), "b", [1]), (None, "c", [1]), (2.0, None, [1]), (3.0, "d", None)]
+    df = spark.createDataFrame(rows_in, "`x.y` double, s string, a array<int>")
+    assert [r["s"] for r in C.drop_incomplete(df).collect()] == ["a"]
+    assert C.drop_incomplete(spark.range(2)).count() == 2
+
+
+def test_cleaned_text_is_not_cleaned_again_to_test_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame(spark).write.parquet(path)
+    got = C.apply_cleanup(spark.read.parquet(path), T.clean_punct, ["t"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(regexp_replace(") == 1
+    assert "IsNotNull(u)" in plan
+
+
 @pytest.mark.parametrize("choice", [{"names": ["zzz"]}, {"indices": [9]}, {}])
 def test_cleanup_without_valid_column_keeps_everything(spark, choice):
     df = frame(spark)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger("utterfold")
 
@@ -43,8 +46,19 @@ def apply_cleanup(
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    """Drop rows with a null in any column."""
-    return df.na.drop("any")
+    """Drop rows with a null (or NaN) in any column.
+
+    One condition per column instead of ``na.drop``: the optimizer drops those
+    on columns that cannot be null, such as cleaned text, and pushes the others
+    to the scan. Otherwise it would clean every text twice, once to test it.
+    """
+    present = []
+    for column in df.schema.fields:
+        known = F.col(f"`{column.name}`").isNotNull()
+        if isinstance(column.dataType, (T.FloatType, T.DoubleType)):
+            known = known & ~F.isnan(f"`{column.name}`")
+        present.append(known)
+    return df.filter(reduce(and_, present)) if present else df
 
 
 def filter_combined(df: DataFrame, label_col: str = "label", delim: str = "+") -> DataFrame:
