@@ -233,11 +233,19 @@ SAMPLE_METRICS = (
 )
 
 
-def _sample_averages(truth: Column, pred: Column) -> list[Column]:
+def _row_overlap(truth: Column, pred: Column) -> list[Column]:
+    """Per row: labels in both, in truth, in prediction."""
     hits = F.zip_with(truth, pred, lambda t, p: ((t > 0) & (p > 0)).cast("double"))
-    both = V.array_sum(hits)
-    t = V.array_sum(F.transform(truth, lambda x: (x > 0).cast("double")))
-    p = V.array_sum(F.transform(pred, lambda x: (x > 0).cast("double")))
+    return [
+        V.array_sum(hits).alias("both"),
+        V.array_sum(F.transform(truth, lambda x: (x > 0).cast("double"))).alias("t"),
+        V.array_sum(F.transform(pred, lambda x: (x > 0).cast("double"))).alias("p"),
+    ]
+
+
+def _sample_averages() -> list[Column]:
+    """Averages over the columns of :func:`_row_overlap`."""
+    both, t, p = F.col("both"), F.col("t"), F.col("p")
     return [
         F.avg(_ratio(both, p)).alias("precision_samples"),
         F.avg(_ratio(both, t)).alias("recall_samples"),
@@ -249,7 +257,8 @@ def _sample_averages(truth: Column, pred: Column) -> list[Column]:
 
 def sample_metrics(df: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
     """Averages over rows and the share of rows with exactly the right labels."""
-    return _long(df.agg(*_sample_averages(F.col(truth_col), F.col(pred_col))), SAMPLE_METRICS)
+    overlap = df.select(*_row_overlap(F.col(truth_col), F.col(pred_col)))
+    return _long(overlap.agg(*_sample_averages()), SAMPLE_METRICS)
 
 
 def multilabel_precision_recall_f1(df: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
@@ -338,17 +347,22 @@ def average_precision(df: DataFrame, truth_col: str, score_col: str) -> DataFram
     return _pick(ranking_metrics(df, truth_col, score_col), AP_METRICS)
 
 
-def _mean_binary_loss(truth_col: str, logits_col: str) -> Column:
-    return _ratio(
-        F.sum(V.binary_cross_entropy(F.col(logits_col), F.col(truth_col))),
-        F.sum(F.size(logits_col)),
-        NAN,
-    ).alias("loss")
+def _binary_loss(truth: Column, logits: Column) -> list[Column]:
+    """Per row: summed loss and number of labels."""
+    return [
+        V.binary_cross_entropy(logits, truth).alias("row_loss"),
+        F.size(logits).alias("row_labels"),
+    ]
+
+
+def _mean_loss() -> Column:
+    return _ratio(F.sum("row_loss"), F.sum("row_labels"), NAN).alias("loss")
 
 
 def binary_cross_entropy_loss(df: DataFrame, truth_col: str, logits_col: str) -> DataFrame:
     """Mean over all rows and labels."""
-    return _long(df.agg(_mean_binary_loss(truth_col, logits_col)), ["loss"])
+    losses = df.select(*_binary_loss(F.col(truth_col), F.col(logits_col)))
+    return _long(losses.agg(_mean_loss()), ["loss"])
 
 
 # --- everything -------------------------------------------------------------------
@@ -382,8 +396,11 @@ def compute_metrics(
             .unionByName(_long(loss, ["loss"]))
         )
     scored = slim.withColumn("scores", V.sigmoid(F.col("logits")))
-    by_row = scored.withColumn("pred", V.binarize(F.col("scores"), threshold)).agg(
-        *_sample_averages(F.col("truth"), F.col("pred")), _mean_binary_loss("truth", "logits")
+    truth, logits, pred = F.col("truth"), F.col("logits"), F.col("pred")
+    by_row = (
+        scored.withColumn("pred", V.binarize(F.col("scores"), threshold))
+        .select(*_row_overlap(truth, pred), *_binary_loss(truth, logits))
+        .agg(*_sample_averages(), _mean_loss())
     )
     counts = cut_lineage(curves.score_counts(scored, "truth", "scores"))
     predicted = F.col("score") > threshold

@@ -73,7 +73,7 @@ def features(spark, folder):
 def multiclass(spark, folder):
     model = _language_model(spark, folder)
     logits = score(_language_rows(spark, folder), model)
-    return logits.select("doc_id", "label", F.posexplode("logits").alias("label_id", "logit"))
+    return logits.select("doc_id", "label", F.posexplode_outer("logits").alias("label_id", "logit"))
 
 
 @query("fit_multilabel")
@@ -83,7 +83,7 @@ def multilabel(spark, folder):
     encoded = L.encode_multilabel(rows, label_map)
     model = fit_multilabel(encoded, label_map, **_FIT)
     logits = score(documents(spark, folder).select("doc_id", "text"), model)
-    return logits.select("doc_id", F.posexplode("logits").alias("label_id", "logit"))
+    return logits.select("doc_id", F.posexplode_outer("logits").alias("label_id", "logit"))
 
 
 def _same_answers(one, other):

@@ -14,8 +14,11 @@ from .base import table, with_label
 
 def _lengths(spark, folder):
     # lengths first, labels after: the join never carries text
-    measured = documents(spark, folder).select(
-        "doc_id", "lang", *P.text_lengths(T.clean_punct(F.col("text")))
+    clean = T.clean_punct(F.col("text")).alias("text")
+    measured = (
+        documents(spark, folder)
+        .select("doc_id", "lang", clean)
+        .select("doc_id", "lang", *P.text_lengths(F.col("text")))
     )
     return P.count_lengths(with_label(spark, folder, measured))
 

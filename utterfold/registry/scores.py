@@ -53,7 +53,8 @@ def binarize(spark, folder):
 
 
 def _ranked_rows(df):
-    exploded = df.select("vec_id", F.posexplode("intents").alias("at", "item"))
+    # outer: no inferred filter on the size, which would rank every row twice
+    exploded = df.select("vec_id", F.posexplode_outer("intents").alias("at", "item"))
     return exploded.select(
         "vec_id",
         (F.col("at") + 1).cast("bigint").alias("rank"),
