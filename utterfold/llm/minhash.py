@@ -8,8 +8,9 @@ shingle sets confirm it.
 
 Documents with the same shingle set are one class from the start, so exact and
 reordered copies cost one row. A class whose half keys nobody shares leaves before the
-tables are made. In each table members are compared with the table's least class;
-whoever then still shares a table with another component is compared with its members.
+tables are made. In each table members are compared with the table's least class. Who
+then still shares a table with another component is compared across components, where
+the rarest shingles of both sets agree.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ HALVES = 12
 #: Candidates with fewer equal minhashes of the 48 are not compared in full. At 75 %
 #: similarity 36 are expected; fewer than 20 have a probability under 1e-6.
 LEAST_EQUAL = 20
+#: A shingle in more sets than this is common and comes last in prefixes.
+RARE = 8
 
 _HASHES = 4 * HALVES
 _NO_ID = -(2**63)
@@ -236,6 +239,62 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def _prefix_pairs(sets: DataFrame) -> DataFrame:
+    """``a, b``: classes of different ``root`` that share a shingle of their prefixes.
+
+    All shingles are put in one order, rare ones first. Two sets with the least
+    similarity or more share one of their first |set| - ceil(3/4 |set|) + 1 shingles, so
+    this loses no link, while a passage that thousands of documents share comes last
+    and pairs none of them.
+    """
+    counts = (
+        sets.select(F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > RARE)
+    )
+    common = (
+        sets.select("class", F.explode("shingles").alias("shingle"))
+        .join(stage(counts, "common"), "shingle")
+        .groupBy("class")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("common"))
+    )
+    known = F.coalesce("common.shingle", F.array().cast("array<long>"))
+    size = F.size("shingles")
+    length = size - F.ceil(size * PERCENT / 100).cast("int") + 1
+    ordered = F.concat(F.array_sort(F.array_except("shingles", known)), known)
+    index = stage(
+        sets.join(common, "class", "left").select(
+            "class",
+            "root",
+            size.alias("size"),
+            F.posexplode(F.slice(ordered, F.lit(1), length)).alias("pos", "shingle"),
+        ),
+        "prefixes",
+    )
+    shared = (
+        index.groupBy("shingle")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        .where("low != high")
+        .select("shingle")
+    )
+    index = index.join(shared, "shingle")
+    x, y = index.alias("x"), index.alias("y")
+    # At the first shingle that two sets share, all they have in common is still to come.
+    # That holds for no later one, but a link passes at its first.
+    to_come = F.least(F.expr("x.size - x.pos"), F.expr("y.size - y.pos"))
+    enough = to_come * (100 + PERCENT) >= F.expr("x.size + y.size") * PERCENT
+    return (
+        x.join(
+            y, (F.col("x.shingle") == F.col("y.shingle")) & F.expr("x.root < y.root") & enough
+        )
+        .select(
+            F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")
+        )
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -285,7 +344,7 @@ def near_duplicates(
     links = _confirmed(tried, classes, sets)
     roots = stage(components(links), "roots")
 
-    # Tables whose members are in several components: compare across those as well.
+    # Classes that share a table with another component may still link to it.
     members = _rooted(tables, roots)
     mixed = (
         members.groupBy("key")
@@ -293,17 +352,10 @@ def near_duplicates(
         .where("low != high")
         .select("key")
     )
-    members = stage(members.join(mixed, "key"), "mixed")
-    x, y = members.alias("x"), members.alias("y")
-    across = (
-        x.join(y, "key")
-        .where("x.root < y.root")
-        .select(
-            F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")
-        )
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    unsettled = stage(
+        members.join(mixed, "key").select("class", "root").distinct(), "unsettled"
     )
+    across = _prefix_pairs(sets.join(unsettled, "class")).join(tried, ["a", "b"], "left_anti")
     more = _confirmed(stage(across, "pairs"), classes, sets)
     roots = stage(components(links.union(more)), "roots")
 

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, line_dedup, minhash, sharding, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, line_dedup, minhash, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,20 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents")).drop("doc_key")
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 _OP3_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -147,6 +161,44 @@ SELECT doc_id,
 FROM per_line GROUP BY doc_id
 """
 
+_WORDS_SQL = r"""
+    list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')
+"""
+
+_OP10_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, {_WORDS_SQL} AS words FROM documents
+), items AS (
+    SELECT item_id, {_WORDS_SQL} AS words FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item_id, words[i : i + {decontaminate.WINDOW - 1}] AS w
+    FROM (SELECT item_id, words,
+                 unnest(range(1, greatest(len(words) - {decontaminate.WINDOW}, 0) + 2)) AS i
+          FROM items WHERE len(words) > 0)
+), lengths AS (
+    SELECT DISTINCT len(w) AS n FROM item_windows
+), doc_windows AS (
+    SELECT doc_id, i, n, words[i : i + n - 1] AS w
+    FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, lengths)
+), hits AS (
+    SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (w)
+), per_doc AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), doc_items AS (
+    SELECT doc_id, count(*) AS n_items,
+           sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)))
+               AS items_sha256
+    FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN doc_items USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
@@ -155,10 +207,12 @@ QUERIES: dict[str, Query] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": _OP3_SQL,
     "op5_chat_format": _OP5_SQL,
     "op7_line_dedup": _OP7_SQL,
+    "op10_decontaminate": _OP10_SQL,
 }
