@@ -12,7 +12,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, line_dedup, minhash, sharding, toxicity
+from . import (
+    bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    line_dedup,
+    minhash,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +37,21 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = toxicity.held_out("doc_id")
+    found = secret_scan.scan(table(spark, folder, "documents"), held_out=held_out)
+    return found.select(
+        "doc_id",
+        "start",
+        F.char_length("candidate").alias("length"),
+        F.sha2("candidate", 256).alias("candidate_sha256"),
+        held_out.alias("held_out"),
+        "label",
+        "score",
+        "is_secret",
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -59,6 +85,13 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.union(extra)))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.dedup_substrings(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return found.select(
@@ -201,9 +234,11 @@ FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN doc_items USING (doc_id)
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
