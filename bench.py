@@ -105,7 +105,7 @@ def main() -> None:
     label_map = L.build_label_map(rows)
     train = L.encode_multiclass(rows, label_map)
     start = time.perf_counter()
-    model = fit_multiclass(train, label_map, max_iter=10, n_features=1 << 12)
+    model = fit_multiclass(train, label_map)
     seconds[f"fit_{MULTICLASS}"] = round(time.perf_counter() - start, 4)
     seconds["score_fitted_model"] = median_time(lambda: finish(score(rows, model)), runs)
     n_rows = rows.count()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import running_before
@@ -11,7 +11,14 @@ from .running import running_before
 POOLED = -1  # label_id of the curve over all labels taken together
 
 _ROWS_PER_BUCKET = 1_000_000
-_MAX_BUCKETS = 8192
+
+
+def same_length(one: Column, other: Column) -> Column:
+    """``one``, failing the query where the arrays differ in length."""
+    differ = F.raise_error(F.lit("truth and prediction differ in length"))
+    return F.when(F.size(one) == F.size(other), one).when(
+        one.isNull() | other.isNull(), F.lit(None)
+    ).otherwise(F.array(differ.cast("int")).cast("array<double>"))
 
 
 def score_counts(df: DataFrame, truth_col: str, score_col: str) -> DataFrame:
@@ -22,7 +29,7 @@ def score_counts(df: DataFrame, truth_col: str, score_col: str) -> DataFrame:
     """
     pairs = F.zip_with(
         F.col(score_col),
-        F.col(truth_col),
+        same_length(F.col(truth_col), F.col(score_col)),
         lambda s, t: F.struct(s.cast("double").alias("score"), (t > 0).alias("hit")),
     )
     return _collapse(df.select(F.posexplode(pairs).alias("label_id", "pair")))
@@ -57,7 +64,7 @@ def _bucketizer(counts: DataFrame, rows_per_bucket: int) -> Bucketizer | None:
     Bounds are approximate quantiles of the scores: they only balance the
     buckets, results do not depend on them.
     """
-    n_buckets = min(_MAX_BUCKETS, -(-counts.count() // rows_per_bucket))
+    n_buckets = -(-counts.count() // rows_per_bucket)
     if n_buckets <= 1:
         return None
     steps = [i / n_buckets for i in range(1, n_buckets)]
@@ -76,12 +83,16 @@ def ranking_curves(
     ``pooled`` adds the curve over all labels under the id ``POOLED``. Tied
     scores count half in the ROC area and form one step of the precision-recall
     sum. Undefined areas are NaN: the ROC area without positives or without
-    negatives, average precision without positives.
+    negatives, average precision without positives, both where a score is NaN.
 
     The table is read several times; pass it through ``cut_lineage`` first.
     """
-    buckets = _bucketizer(counts, rows_per_bucket)
+    buckets = _bucketizer(counts.filter(~F.isnan("score")), rows_per_bucket)
     rows = _with_pooled(counts) if pooled else counts
+    # NaN scores have no place in an order: they are put last and blank the label's areas
+    rows = rows.withColumn("unranked", F.isnan("score")).withColumn(
+        "score", F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    )
     # a null score has no rank
     rows = rows.filter(F.col("score").isNotNull()).withColumn("falling", -F.col("score"))
     if buckets:
@@ -102,6 +113,7 @@ def ranking_curves(
         F.sum("neg").alias("n_neg"),
         F.sum(neg * (above + pos / 2)).alias("wins"),
         F.sum(pos * precision).alias("steps"),
+        F.max("unranked").alias("unranked"),
     )
     nan = F.lit(float("nan"))
     n_pos, n_neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
@@ -109,6 +121,10 @@ def ranking_curves(
         "label_id",
         "n_pos",
         "n_neg",
-        F.coalesce(F.try_divide("wins", n_pos * n_neg), nan).alias("auc"),
-        F.coalesce(F.try_divide("steps", n_pos), nan).alias("ap"),
+        F.when(F.col("unranked"), nan)
+        .otherwise(F.coalesce(F.try_divide("wins", n_pos * n_neg), nan))
+        .alias("auc"),
+        F.when(F.col("unranked"), nan)
+        .otherwise(F.coalesce(F.try_divide("steps", n_pos), nan))
+        .alias("ap"),
     )

@@ -68,7 +68,7 @@ def label_counts(df: DataFrame, truth_col: str, pred_col: str) -> DataFrame:
     All labels of the vectors appear, also those without support.
     """
     pairs = F.zip_with(
-        F.col(truth_col),
+        curves.same_length(F.col(truth_col), F.col(pred_col)),
         F.col(pred_col),
         lambda t, p: F.struct((t > 0).alias("t"), (p > 0).alias("p")),
     )

@@ -29,9 +29,14 @@ def model_tokens(text: Column, max_tokens: int = 128) -> Column:
 
 
 def feature_pipeline(
-    vectorizer: str = "count", n_features: int = 1 << 18, min_df: float = 1.0
+    vectorizer: str = "hash", n_features: int = 1 << 16, min_df: float = 1.0
 ) -> Pipeline:
-    """Tokens to TF-IDF. ``count`` learns a vocabulary, ``hash`` needs no pass for it."""
+    """Tokens to TF-IDF.
+
+    ``hash`` keeps every token, in one of ``n_features`` bins, without a vocabulary.
+    ``count`` holds the ``n_features`` most frequent terms on the driver and leaves
+    out the rest.
+    """
     if vectorizer == "count":
         counts = CountVectorizer(
             inputCol="tokens", outputCol="tf", vocabSize=n_features, minDF=min_df
@@ -47,6 +52,23 @@ def with_tokens(df: DataFrame, text_col: str = "text", max_tokens: int = 128) ->
     return df.withColumn("tokens", model_tokens(F.col(text_col), max_tokens))
 
 
+def term_weights(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 128
+) -> DataFrame:
+    """``id, term, tf, weight``: TF-IDF as a table, one row per document and term.
+
+    The whole vocabulary takes part and stays distributed. ``weight`` is
+    ``tf * ln((n + 1) / (df + 1))`` for n documents of which df hold the term.
+    """
+    tokens = df.select(id_col, F.explode(model_tokens(F.col(text_col), max_tokens)).alias("term"))
+    tf = cut_lineage(tokens.groupBy(id_col, "term").agg(F.count("*").alias("tf")))
+    n = df.count()
+    idf = tf.groupBy("term").agg(F.log(F.lit(n + 1) / (F.count("*") + 1)).alias("idf"))
+    return tf.join(idf, "term").select(
+        id_col, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight")
+    )
+
+
 def featurize(
     df: DataFrame,
     text_col: str = "text",
@@ -88,7 +110,8 @@ class IntentModel:
                     parts.append(F.lit(head))
                     continue
                 raw = f"_raw_{i}"
-                scored = head.setRawPredictionCol(raw).transform(scored)
+                # a copy: the stored head stays as it is for other transforms
+                scored = head.copy().setRawPredictionCol(raw).transform(scored)
                 parts.append(F.get(vector_to_array(F.col(raw)), F.lit(1)))
                 helpers.append(raw)
             logits = F.array(*parts)
@@ -115,6 +138,7 @@ def _regression(max_iter: int, reg_param: float) -> LogisticRegression:
         rawPredictionCol="_raw",
         maxIter=max_iter,
         regParam=reg_param,
+        tol=1e-7,
     )
 
 
@@ -137,7 +161,7 @@ def fit_multiclass(
     df: DataFrame,
     label_map: DataFrame,
     text_col: str = "text",
-    max_iter: int = 50,
+    max_iter: int = 300,
     reg_param: float = 1e-3,
     max_tokens: int = 128,
     **options,
@@ -157,7 +181,7 @@ def fit_multilabel(
     df: DataFrame,
     label_map: DataFrame,
     text_col: str = "text",
-    max_iter: int = 50,
+    max_iter: int = 300,
     reg_param: float = 1e-3,
     max_tokens: int = 128,
     **options,

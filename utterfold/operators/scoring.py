@@ -14,7 +14,6 @@ from ..config import MULTICLASS, check_task
 from ..functions import ranking as R
 from ..functions import vectors as V
 from ..functions.text import clean_basic
-from .batches import slices
 
 # Error labels and the message for empty text.
 TEXT_EMPTY = "TEXT_EMPTY"
@@ -82,10 +81,10 @@ def score_with(
 ) -> DataFrame:
     """Add logits from a user scorer, built once per task and fed cleaned text.
 
-    Rows with empty text get null logits and never reach the scorer. With
-    ``catch_errors`` a failing batch is tried again row by row; rows that fail
-    alone get null logits and a message in ``error_message``. Text of any other
-    row is unaffected.
+    The scorer gets ``batch_size`` texts at once, empty ones too; refusing those is
+    the service's business (:func:`answer_requests`). With ``catch_errors`` a failing
+    batch is tried again row by row; rows that fail alone get null logits and a
+    message in ``error_message``. Text of any other row is unaffected.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
@@ -97,11 +96,11 @@ def score_with(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = None
         for frame in frames:
-            for part in slices(frame, batch_size):
-                texts = part["_clean"].tolist()
-                wanted = [i for i, text in enumerate(texts) if text]
-                logits: list[list[float] | None] = [None] * len(texts)
-                messages: list[str | None] = [None] * len(texts)
+            texts = frame["_clean"].tolist()
+            logits: list[list[float] | None] = [None] * len(texts)
+            messages: list[str | None] = [None] * len(texts)
+            for at in range(0, len(texts), batch_size):
+                wanted = range(at, min(at + batch_size, len(texts)))
                 try:
                     scorer = scorer or factory()
                     for i, row in _paired(scorer, texts, wanted):
@@ -116,8 +115,8 @@ def score_with(
                             logits[i] = _paired(scorer, texts, [i])[0][1]
                         except Exception as alone:
                             messages[i] = str(alone)
-                scored = part.drop(columns="_clean").assign(**{out: logits})
-                yield scored.assign(error_message=messages) if catch_errors else scored
+            scored = frame.drop(columns="_clean").assign(**{out: logits})
+            yield scored.assign(error_message=messages) if catch_errors else scored
 
     return cleaned.mapInPandas(run, T.StructType(fields))
 

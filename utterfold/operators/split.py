@@ -15,8 +15,17 @@ _STEP = 4  # hex digits per refinement: at most 16 ** 4 counters reach the drive
 
 
 def split_key(keys: Sequence[str], seed: int = 42) -> Column:
-    """Position of a row in the random order: the md5 of seed and key."""
-    return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    """Position of a row in the random order: the md5 of seed and key.
+
+    Several keys are hashed as JSON, which tells ("a-b", "c") from ("a", "b-c") and a
+    null from an empty key.
+    """
+    if len(keys) == 1:
+        key = F.col(f"`{keys[0]}`").cast("string")
+    else:
+        named = [F.col(f"`{k}`").cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
+        key = F.to_json(F.struct(*named), {"ignoreNullFields": "false"})
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), key))
 
 
 def split_exact(

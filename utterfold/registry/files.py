@@ -22,13 +22,15 @@ from .metrics import _CLASSES, _ACCURACY, _wanted
 from .scores import _NAME, _NAMES
 from ..operators.scoring import names_array, predict_table
 
-_ROWS = f"WITH {CLEANED} SELECT text, label FROM cleaned"
+# Texts as they are, line breaks and all; the two readers differ in what is missing.
+_ROWS = f"WITH {CORPUS} SELECT nullif(text, '') AS text, label FROM corpus"
+_REQUESTED = f"WITH {CORPUS} SELECT coalesce(text, '') AS text, label FROM corpus"
 
 
 def _written(spark, folder, kind, header):
-    """The cleaned corpus as delimited or JSON files; returns their folder."""
+    """The corpus as delimited or JSON files; returns their folder."""
     path = scratch_path(spark, kind)
-    rows = cleaned(spark, folder).select("text", "label")
+    rows = corpus(spark, folder).select("text", "label")
     if kind == "json":
         rows.write.json(path)
     else:
@@ -58,7 +60,7 @@ def read_json(spark, folder):
 @query(
     "load_corpus_unpacked",
     f"""WITH {CLEANED}
-    SELECT {sql_clean_basic("text")} AS text, unnest(string_split(label, '+')) AS label FROM cleaned""",
+    SELECT {sql_clean_basic("text")} AS text, unnest(string_split(label, '+')) AS label FROM corpus""",
 )
 def load_unpacked(spark, folder):
     path = _written(spark, folder, "tsv", header=False)
@@ -68,7 +70,7 @@ def load_unpacked(spark, folder):
     return load_corpus(spark, config)
 
 
-@query("read_scoring_input", _ROWS)
+@query("read_scoring_input", _REQUESTED)
 def read_scoring_input(spark, folder):
     return files.read_scoring_input(spark, _written(spark, folder, "csv", header=True))
 

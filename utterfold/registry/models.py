@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, MULTILABEL, CorpusConfig
-from ..functions.vectors import array_sum
+from ..functions.vectors import sigmoid, softmax
 from ..operators import labels as L
 from ..operators.model import (
-    featurize,
     fit_multiclass,
     fit_multilabel,
     load_model,
     save_model,
     score,
+    term_weights,
 )
 from ..plans.prepare import prepare
 from ..plans.train_evaluate import train_and_evaluate
@@ -23,8 +23,6 @@ from .base import CORPUS, REQUESTS, corpus, documents, query, r6, requests, tabl
 from .base import sql_clean_basic, sql_clean_punct, sql_tokens
 from .scores import LETTER_SQL, LETTERS, LetterScorer
 
-_FIT = {"max_iter": 10, "n_features": 1 << 12}
-
 
 def _language_rows(spark, folder):
     return documents(spark, folder).select("doc_id", "text", F.col("lang").alias("label"))
@@ -37,7 +35,7 @@ def _parts(spark, folder):
 def _language_model(spark, folder):
     rows = _language_rows(spark, folder)
     label_map = L.build_label_map(rows)
-    return fit_multiclass(L.encode_multiclass(rows, label_map), label_map, **_FIT)
+    return fit_multiclass(L.encode_multiclass(rows, label_map), label_map)
 
 
 @query(
@@ -47,43 +45,53 @@ def _language_model(spark, folder):
     words AS (SELECT doc_id, unnest(({sql_tokens("text")})[1:128]) AS term FROM cleaned),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    weighted AS (
-      SELECT doc_id, count(*) AS n_terms, sum(tf * ln((n + 1) / (df + 1))) AS weight
-      FROM tf JOIN df USING (term), (SELECT count(*) AS n FROM documents) GROUP BY doc_id)
-    SELECT doc_id, coalesce(n_terms, 0) AS n_terms, round(coalesce(weight, 0), 6) + 0.0 AS weight
-    FROM documents LEFT JOIN weighted USING (doc_id)""",
+    total AS (SELECT count(*) AS n FROM documents)
+    SELECT doc_id, term, tf, round(tf * ln((n + 1) / (df + 1)), 6) + 0.0 AS weight
+    FROM tf JOIN df USING (term), total""",
 )
 def features(spark, folder):
-    """Number of features and their total weight per document, from the sparse vectors."""
+    """Every term of every document with its weight."""
     rows = _language_rows(spark, folder).select("doc_id", "text")
-    featured, _ = featurize(rows)
-    sparse = F.from_json(
-        F.to_json(F.struct("features")),
-        "features struct<indices: array<int>, values: array<double>>",
-    )["features"]
-    opened = featured.select("doc_id", sparse.alias("sparse"))
-    return opened.select(
-        "doc_id",
-        F.size("sparse.indices").cast("bigint").alias("n_terms"),
-        r6(array_sum(F.col("sparse.values"))).alias("weight"),
-    )
+    return term_weights(rows).withColumn("weight", r6("weight"))
+
+
+def _mean_by_label(probabilities, label_map):
+    """``label, share``: the mean probability of each label over all rows."""
+    exploded = probabilities.select(F.posexplode("p").alias("label_id", "p"))
+    means = exploded.groupBy("label_id").agg(F.round(F.avg("p"), 4).alias("share"))
+    return means.join(label_map, "label_id").select("label", "share")
 
 
-@query("fit_multiclass")
+@query(
+    "fit_multiclass",
+    """SELECT lang AS label, round(count(*) / sum(count(*)) OVER (), 4) AS share
+    FROM documents GROUP BY lang""",
+)
 def multiclass(spark, folder):
-    model = _language_model(spark, folder)
-    logits = score(_language_rows(spark, folder), model)
-    return logits.select("doc_id", "label", F.posexplode_outer("logits").alias("label_id", "logit"))
+    """At the optimum the mean probability of a class is its share of the training rows.
+
+    A fit that has not converged, or lost tokens or rows, does not end there.
+    """
+    rows = _language_rows(spark, folder)
+    label_map = L.build_label_map(rows)
+    logits = score(rows, _language_model(spark, folder))
+    return _mean_by_label(logits.select(softmax(F.col("logits")).alias("p")), label_map)
 
 
-@query("fit_multilabel")
+@query(
+    "fit_multilabel",
+    f"""WITH {CORPUS}, parts AS (
+      SELECT text, unnest(string_split(label, '+')) AS label FROM corpus)
+    SELECT label, round(count(DISTINCT text) / (SELECT count(DISTINCT text) FROM parts), 4) AS share
+    FROM parts GROUP BY label""",
+)
 def multilabel(spark, folder):
+    """As for one class per row, label by label."""
     rows = _parts(spark, folder)
     label_map = L.build_label_map(rows)
     encoded = L.encode_multilabel(rows, label_map)
-    model = fit_multilabel(encoded, label_map, **_FIT)
-    logits = score(documents(spark, folder).select("doc_id", "text"), model)
-    return logits.select("doc_id", F.posexplode_outer("logits").alias("label_id", "logit"))
+    logits = score(encoded.select("text"), fit_multilabel(encoded, label_map))
+    return _mean_by_label(logits.select(sigmoid(F.col("logits")).alias("p")), label_map)
 
 
 def _same_answers(one, other):
@@ -110,7 +118,7 @@ def model_round_trip(spark, folder):
 def _train(spark, folder, task, rows, row_id):
     config = CorpusConfig("unused", task=task, unpack=task == MULTILABEL)
     prepared = prepare(rows, config, row_id=row_id)
-    _, metrics = train_and_evaluate(prepared, task, "run", **_FIT)
+    _, metrics = train_and_evaluate(prepared, task, "run")
     return metrics.withColumn("value", r6("value"))
 
 
@@ -142,11 +150,29 @@ def _drained(spark, answers):
     return spark.read.schema(answers.schema).json(path)
 
 
-@query("score_stream")
+@query(
+    "score_stream",
+    f"""WITH {REQUESTS}
+    SELECT request_id,
+           CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN NULL
+                ELSE (SELECT least(count(DISTINCT lang), 3) FROM documents) END AS n_intents,
+           CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'TEXT_EMPTY'
+                END AS error,
+           true AS ordered
+    FROM requests""",
+)
 def stream_model(spark, folder):
+    """Per request the number of intents, the error, and whether they fall in confidence."""
     model = _language_model(spark, folder)
     answers = _drained(spark, score_stream(_request_stream(spark, folder), model))
-    return answers.select("request_id", F.inline("intents"))
+    confidences = F.col("intents.confidence")
+    falling = F.coalesce(confidences == F.sort_array(confidences, asc=False), F.lit(True))
+    return answers.select(
+        "request_id",
+        F.when(F.col("intents").isNotNull(), F.size("intents")).cast("bigint").alias("n_intents"),
+        F.col("error.label").alias("error"),
+        falling.alias("ordered"),
+    )
 
 
 @query("score_stream_equals_batch", _ALL_SAME)

@@ -52,13 +52,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/utterfold/{name}-{uuid.uuid4().hex}"
 
 
+_FEW = 8
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of an input that has fewer partitions than that.
+    """Share an input of fewer than eight partitions among up to eight cores.
 
-    A large input has more partitions than the cluster has cores and is left
-    alone, so this never shuffles big data.
+    Eight partitions are a gigabyte at most, on a cluster of any size; a larger input
+    is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(_FEW, df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -41,8 +41,38 @@ def all_strings(columns: Sequence[str]) -> T.StructType:
 
 
 def csv_options(separator: str) -> dict[str, str]:
-    """Standard quoting: a quote inside a quoted field is doubled."""
-    return {"sep": separator, "quote": '"', "escape": '"'}
+    """Standard quoting: a quote inside a quoted field is doubled, outer spaces are kept."""
+    return {
+        "sep": separator,
+        "quote": '"',
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+
+
+def checked_schema(columns: Sequence[str]) -> T.StructType:
+    """All strings, with a column for records that do not fit."""
+    return all_strings([*columns, _RAW])
+
+
+def whole_records(df: DataFrame, columns: Sequence[str], separator: str) -> DataFrame:
+    """Fail on a record with more fields than columns or with a quote that never closes.
+
+    One rule for batch, scoring and stream readers. Short records end in nulls.
+    """
+    raw = F.col(_RAW)
+    separators = F.length(raw) - F.length(F.replace(raw, F.lit(separator), F.lit("")))
+    quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
+    all_fields = F.concat_ws("", *[F.col(f"`{c}`") for c in columns])
+    # naming every column: Spark only notices extra fields when it parses whole rows
+    record = F.concat(raw, F.substring(all_fields, 1, 0))
+    problem = F.when(quotes % 2 == 1, F.lit("unclosed quote: ")).when(
+        separators >= len(columns), F.lit("more fields than columns: ")
+    )
+    failed = F.raise_error(F.concat(problem, record)).cast("boolean")
+    fits = F.when(raw.isNotNull() & problem.isNotNull(), failed).otherwise(F.lit(True))
+    return df.filter(fits).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def read_corpus(
@@ -51,14 +81,16 @@ def read_corpus(
     file_type: str | None = None,
     columns: Sequence[str] | None = None,
     na_tokens: Sequence[str] | None = NA_TOKENS,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A labelled corpus from TSV, CSV or line-delimited JSON, all columns strings.
 
     With ``columns`` a delimited file has no header; without them the header
     names the columns. Short rows end in nulls; a row with more fields than
-    columns fails the query instead of losing a field. ``multi_line`` accepts
-    line breaks inside quotes, at the price that a file is read by one task.
+    columns fails the query instead of losing a field. Line breaks inside quotes
+    belong to the field, at the price that a file is read by one task. With
+    ``multi_line=False`` large files are split among tasks, and a record whose
+    quote does not close on its line fails the query.
     """
     kind = check_file_type(file_type or infer_file_type(path))
     if kind == "json":
@@ -71,19 +103,8 @@ def read_corpus(
         # header only: with a schema of strings nothing is inferred from the rows
         columns = reader.option("header", True).csv(path).columns
         reader = reader.option("header", True)
-    schema = all_strings([*columns, _RAW])
-    df = reader.schema(schema).option("columnNameOfCorruptRecord", _RAW).csv(path)
-    separators = F.length(_RAW) - F.length(F.replace(F.col(_RAW), F.lit(separator), F.lit("")))
-    too_long = F.col(_RAW).isNotNull() & (separators >= len(columns))
-    all_fields = F.concat_ws("", *[F.col(c) for c in columns])
-    whole = F.when(
-        # names every column: Spark only notices extra fields when it parses whole rows
-        too_long,
-        F.raise_error(
-            F.concat(F.lit("more fields than columns: "), _RAW, F.substring(all_fields, 1, 0))
-        ).cast("boolean"),
-    ).otherwise(F.lit(True))
-    return mark_missing(df.filter(whole).select(*columns), na_tokens)
+    df = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW).csv(path)
+    return mark_missing(whole_records(df, columns, separator), na_tokens)
 
 
 def mark_missing(df: DataFrame, na_tokens: Sequence[str] | None) -> DataFrame:
@@ -98,12 +119,18 @@ def mark_missing(df: DataFrame, na_tokens: Sequence[str] | None) -> DataFrame:
     )
 
 
-def read_scoring_input(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
+def read_scoring_input(
+    spark: SparkSession, path: str, text_col: str = "text", multi_line: bool = True
+) -> DataFrame:
     """Scoring input with a header, tabs for ``.tsv`` and commas otherwise.
 
-    Empty fields stay empty strings.
+    Empty fields, and those a short record lacks, are empty strings. Line breaks in
+    quotes and records that do not fit are treated as in :func:`read_corpus`.
     """
     separator = "\t" if path.rstrip("/").lower().endswith(".tsv") else ","
-    df = spark.read.options(**csv_options(separator)).option("header", True).csv(path)
-    require_column(df.columns, text_col, "text")
-    return df.na.fill("")
+    reader = spark.read.options(**csv_options(separator)).option("header", True)
+    reader = reader.option("multiLine", multi_line)
+    columns = reader.csv(path).columns
+    require_column(columns, text_col, "text")
+    df = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW).csv(path)
+    return whole_records(df, columns, separator).na.fill("")

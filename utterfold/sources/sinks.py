@@ -35,13 +35,18 @@ def load_label_map(spark: SparkSession, path: str, max_labels: int = MAX_LABELS)
 
 
 def save_metrics(metrics: DataFrame, run_id: str, split: str, path: str) -> None:
-    """Append ``metric, value`` to the long table ``run_id, split, metric, value``."""
+    """Put ``metric, value`` into the long table ``run_id, split, metric, value``.
+
+    A run and split that is there already is replaced.
+    """
     metrics.select(
         F.lit(run_id).alias("run_id"),
         "metric",
         F.col("value").cast("double").alias("value"),
         F.lit(split).alias("split"),
-    ).coalesce(1).write.mode("append").partitionBy("split").parquet(path)
+    ).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_id", "split"
+    ).parquet(path)
 
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -11,8 +11,10 @@ from ..sources.files import (
     SEPARATORS,
     all_strings,
     check_file_type,
+    checked_schema,
     csv_options,
     mark_missing,
+    whole_records,
 )
 
 
@@ -24,16 +26,22 @@ def stream_corpus(
     header: bool = False,
     na_tokens: Sequence[str] | None = NA_TOKENS,
     max_files_per_trigger: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """New files of a folder as rows, labels left combined.
 
     Unpacking, cleanup and encoding are row-wise and apply to the stream as
-    they do to a table.
+    they do to a table. Records are checked as :func:`read_corpus` checks them.
     """
-    reader = spark.readStream.schema(all_strings(columns))
+    kind = check_file_type(file_type)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if check_file_type(file_type) == "json":
-        return reader.json(path)
-    options = csv_options(SEPARATORS[file_type])
-    return mark_missing(reader.options(**options).option("header", header).csv(path), na_tokens)
+    if kind == "json":
+        return reader.schema(all_strings(columns)).json(path)
+    separator = SEPARATORS[kind]
+    schema = checked_schema(columns)
+    reader = reader.options(**csv_options(separator)).option("multiLine", multi_line)
+    reader = reader.option("columnNameOfCorruptRecord", schema.names[-1])
+    df = reader.schema(schema).option("header", header).csv(path)
+    return mark_missing(whole_records(df, columns, separator), na_tokens)
