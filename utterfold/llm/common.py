@@ -53,6 +53,26 @@ def same_document(left: str, right: str) -> Column:
     )
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_on_document(
+    docs: DataFrame, marks: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Join whole rows of ``docs`` with ``marks`` (``doc_id, doc_key, ...``) of ``keyed``."""
+    doc_id, doc_key = free_name("_doc_id", docs), free_name("_doc_key", docs)
+    renamed = marks.withColumnsRenamed({"doc_id": doc_id, "doc_key": doc_key})
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(doc_id)) & (
+        F.xxhash64(full_text(text_col)) == F.col(doc_key)
+    )
+    return docs.join(renamed, match, how)
+
+
 @contextlib.contextmanager
 def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within this block Spark deletes the shuffle files of a query that has ended."""

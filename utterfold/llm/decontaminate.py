@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import full_text, keyed, lower_ascii, same_document, stage
+from .common import full_text, join_on_document, keyed, lower_ascii, same_document, stage
 
 #: Words of a window.
 WINDOW = 10
@@ -248,10 +248,5 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
     exact, _ = find_leaks(docs, benchmark, id_col, text_col)
-    hit = exact.select(
-        F.col("doc_id").alias("_hit_id"), F.col("doc_key").alias("_hit_key")
-    ).distinct()
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("_hit_id")) & (
-        F.xxhash64(full_text(text_col)) == F.col("_hit_key")
-    )
-    return docs.join(hit, match, "left_anti")
+    hit = exact.select("doc_id", "doc_key").distinct()
+    return join_on_document(docs, hit, "left_anti", id_col, text_col)

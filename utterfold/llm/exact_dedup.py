@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text, stage
+from .common import free_name, full_text, stage
 
 #: Characters of a block. Larger blocks make fewer rows and wider sort keys.
 BLOCK_CHARS = 512
@@ -124,13 +124,16 @@ def exact_duplicates(
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of ``docs`` whose id stays, with all their columns."""
-    found = exact_duplicates(docs, id_col, text_col)
-    stay = found.where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")
+    kept_id, kept_sha = free_name("_kept_id", docs), free_name("_kept_sha", docs)
+    found = exact_duplicates(docs, id_col, text_col).where("kept")
+    stay = found.select(
+        F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)
     ).distinct()
-    sha = F.sha2(full_text(text_col), 256)
-    return docs.join(
-        stay, docs[f"`{id_col}`"].eqNullSafe(stay["_kept_id"]) & (sha == stay["_kept_sha"]), "left_semi"
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (
+        F.sha2(full_text(text_col), 256) == F.col(kept_sha)
     )
+    return docs.join(stay, match, "left_semi")

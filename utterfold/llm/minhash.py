@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import full_text, stage
+from .common import full_text, join_on_document, stage
 from .graph import components
 
 #: Words of a shingle, and the least similarity of a link in percent.
@@ -379,13 +379,6 @@ def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The kept rows of ``docs`` with all their columns: one document of each component."""
-    gone = (
-        near_duplicates(docs, id_col, text_col)
-        .where("NOT kept")
-        .select(F.col("doc_id").alias("_gone_id"), F.col("doc_key").alias("_gone_key"))
-        .distinct()
-    )
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (
-        F.xxhash64(full_text(text_col)) == F.col("_gone_key")
-    )
-    return docs.join(gone, match, "left_anti")
+    found = near_duplicates(docs, id_col, text_col).where("NOT kept")
+    gone = found.select("doc_id", "doc_key").distinct()
+    return join_on_document(docs, gone, "left_anti", id_col, text_col)
