@@ -380,5 +380,6 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The kept rows of ``docs`` with all their columns: one document of each component."""
     found = near_duplicates(docs, id_col, text_col).where("NOT kept")
-    gone = found.select("doc_id", "doc_key").distinct()
+    # Copies grow with the documents, so the join is the same at every size.
+    gone = found.select("doc_id", "doc_key").distinct().hint("merge")
     return join_on_document(docs, gone, "left_anti", id_col, text_col)
