@@ -29,6 +29,9 @@ BITS = 17
 TRAIN_ROWS = 6000
 #: N-grams in fewer training texts say nothing.
 MIN_TEXTS = 4
+#: Tasks that share the training rows. Each sends one gradient of all bins per round, so
+#: their number is fixed like the number of rows, not left to the number of files.
+FIT_TASKS = 4
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -147,7 +150,7 @@ def fit_toxicity(
         held = values != 0
         return SparseVector(size, index[held], values[held])
 
-    train = features.select("label", scaled("bins").alias("features"))
+    train = features.coalesce(FIT_TASKS).select("label", scaled("bins").alias("features"))
     fitted = LogisticRegression(
         maxIter=max_iter, regParam=penalty, standardization=False
     ).fit(train)
