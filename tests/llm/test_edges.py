@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -270,6 +271,15 @@ def test_toxicity(docs, none, spark):
     assert toxicity.reject_toxic(train, labels).columns == train.columns
 
 
+def test_toxicity_takes_back_uneven_sampling(spark):
+    rows = [(i, int(i < 10)) for i in range(100)] + [(None, 1), (100, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    assert toxicity._oversampling(labels, 1000) == 0
+    assert toxicity._oversampling(labels, 40) == pytest.approx(math.log(90 / 20))
+    assert toxicity._oversampling(labels, 10) == pytest.approx(math.log(90 / 10))
+    assert toxicity._oversampling(labels.limit(0), 10) == 0
+
+
 def test_secrets(docs, none, spark):
     rows = [(i, f'say token = "{hashlib.sha1(str(i).encode()).hexdigest()}" now', "src") for i in range(60)]
     rows += [(100 + i, f"an extraordinarilylong{'word' * (1 + i % 3)} here", "src") for i in range(60)]

@@ -69,17 +69,30 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(margin, -500.0, 500.0))))
 
 
+def _judged(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic``, one row per id; null ids or labels do not count."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    )
+
+
+def _oversampling(labels: DataFrame, rows: int) -> float:
+    """Log of how much likelier ``training_ids`` takes a toxic id than another."""
+    half = max(1, rows // 2)
+    sizes = {r["toxic"]: r["count"] for r in _judged(labels).groupBy("toxic").count().collect()}
+    taken = {c: min(1.0, half / sizes[c]) if sizes.get(c) else 1.0 for c in (0, 1)}
+    return float(np.log(taken[1] / taken[0]))
+
+
 def training_ids(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, toxic``: at most ``rows`` labelled ids, evenly from both classes.
 
     Ids are taken in the order of a hash, so the choice is the same at each run. Null
     ids or labels do not count; an id with both labels is toxic.
     """
-    one = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    )
+    one = _judged(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = max(1, rows // 2)
     toxic = one.where("toxic = 1").orderBy(*order).limit(half)
@@ -128,7 +141,8 @@ def fit_toxicity(
 
     Only texts enter the features. Null text is empty text. Where the labels know
     one class only, or nothing, the model is that class's share for every text, one
-    half without any label.
+    half without any label. Where the bound on rows takes more of one class than of the
+    other, the intercept takes that back, so a score means the same at every size.
     """
     chosen = training_ids(labels, rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), full_text(text_col).alias("text"))
@@ -155,7 +169,8 @@ def fit_toxicity(
         maxIter=max_iter, regParam=penalty, standardization=False
     ).fit(train)
     return ToxicityModel(
-        (ratios * fitted.coefficients.toArray()).astype(np.float32), float(fitted.intercept)
+        (ratios * fitted.coefficients.toArray()).astype(np.float32),
+        float(fitted.intercept) - _oversampling(labels, rows),
     )
 
 
