@@ -280,6 +280,26 @@ def test_toxicity_takes_back_uneven_sampling(spark):
     assert toxicity._oversampling(labels.limit(0), 10) == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.1", "check_s"])
+def test_toxicity_catches_held_out_insults_at_every_size(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+    scored = toxicity.score_documents(docs.join(labels.select("doc_id"), "doc_id"), labels)
+    held = scored.where("held_out").join(labels, "doc_id")
+    got = {(r["toxic"], r["predicted"]): r["count"]
+           for r in held.groupBy("toxic", "predicted").count().collect()}
+    # 53 of the 97 held-out toxic texts of sf0.1 hold an insult.
+    assert got[1, 1] >= 0.54 * (got[1, 1] + got.get((1, 0), 0))
+    assert got.get((0, 1), 0) <= 0.005 * got[0, 0]
+
+
+def test_toxicity_draws_natural_shares(spark):
+    labels = spark.range(4000).selectExpr("id AS doc_id", "int(id % 8 = 0) AS toxic")
+    assert toxicity.training_ids(labels).count() == 4000
+    some = [r["toxic"] for r in toxicity.training_ids(labels, 2000).collect()]
+    assert 1800 < len(some) < 2200 and 0.1 < sum(some) / len(some) < 0.15
+
+
 def test_secrets(docs, none, spark):
     rows = [(i, f'say token = "{hashlib.sha1(str(i).encode()).hexdigest()}" now', "src") for i in range(60)]
     rows += [(100 + i, f"an extraordinarilylong{'word' * (1 + i % 3)} here", "src") for i in range(60)]

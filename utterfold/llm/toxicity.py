@@ -5,17 +5,21 @@ fixed number of bins. Each is scaled by its log-count ratio, the logarithm of ho
 much more often it occurs in toxic training texts than in others, and a logistic
 regression is fitted on the scaled features. Ratio and coefficient multiply to one
 weight per bin, so a model is one array of fixed length, whatever the corpus.
+
+The fit is L-BFGS on the driver; tasks return the loss and one gradient of all bins. It
+searches in the space of the ratio-scaled features. Dividing them by their deviation
+first, as MLlib does, makes rare bins as steep as telling ones and loses recall.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +29,15 @@ from .common import full_text, stage
 SIZES = (3, 4, 5)
 #: Bins are two to this power.
 BITS = 17
-#: At most so many labelled rows train a model, half of them of either class.
-TRAIN_ROWS = 6000
+#: About so many labelled rows train a model at most, in the shares the classes have.
+TRAIN_ROWS = 1_000_000
 #: N-grams in fewer training texts say nothing.
 MIN_TEXTS = 4
-#: Tasks that share the training rows. Each sends one gradient of all bins per round, so
-#: their number is fixed like the number of rows, not left to the number of files.
-FIT_TASKS = 4
+#: Tasks at most that share the training rows. Each sends one gradient of all bins (1 MB)
+#: per round to the driver, so their number is bounded, not left to the number of files.
+FIT_TASKS = 64
+#: Training texts whose bins are stored together.
+_BLOCK = 64
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -79,55 +85,183 @@ def _judged(labels: DataFrame) -> DataFrame:
 
 
 def _oversampling(labels: DataFrame, rows: int) -> float:
-    """Log of how much likelier ``training_ids`` takes a toxic id than another."""
+    """Log of how much likelier ``training_ids`` with ``even`` takes a toxic id than another."""
     half = max(1, rows // 2)
     sizes = {r["toxic"]: r["count"] for r in _judged(labels).groupBy("toxic").count().collect()}
     taken = {c: min(1.0, half / sizes[c]) if sizes.get(c) else 1.0 for c in (0, 1)}
     return float(np.log(taken[1] / taken[0]))
 
 
-def training_ids(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, toxic``: at most ``rows`` labelled ids, evenly from both classes.
+def training_ids(labels: DataFrame, rows: int = TRAIN_ROWS, even: bool = False) -> DataFrame:
+    """``doc_id, toxic``: all labelled ids, or about ``rows`` of them if there are more.
 
-    Ids are taken in the order of a hash, so the choice is the same at each run. Null
-    ids or labels do not count; an id with both labels is toxic.
+    Ids are taken by a hash that does not see the class, so classes keep their shares and
+    the choice is the same at each run. With ``even`` at most ``rows`` are taken, at most
+    half of them from either class. Null ids or labels do not count; an id with both
+    labels is toxic.
     """
     one = _judged(labels)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    half = max(1, rows // 2)
-    toxic = one.where("toxic = 1").orderBy(*order).limit(half)
-    return toxic.union(one.where("toxic = 0").orderBy(*order).limit(half))
+    if even:
+        order = [F.xxhash64("doc_id"), F.col("doc_id")]
+        half = max(1, rows // 2)
+        toxic = one.where("toxic = 1").orderBy(*order).limit(half)
+        return toxic.union(one.where("toxic = 0").orderBy(*order).limit(half))
+    n = one.count()
+    if n <= rows:
+        return one
+    return one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
 def _features(texts: DataFrame) -> DataFrame:
-    """``label, bins`` of the training texts."""
+    """``labels, sizes, gaps`` per block of training texts, each array as bytes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Bins of the block's texts follow each other, text number in the upper bits; stored are
+    the gaps between them, byte plane by byte plane, which takes about a byte per bin.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame(
-                {"label": batch["toxic"], "bins": [bins_of(t) for t in batch["text"]]}
+            for at in range(0, len(batch), _BLOCK):
+                part = batch.slice(at, _BLOCK)
+                bins = [bins_of(t) for t in part["text"].to_pylist()]
+                places = np.concatenate([b + (i << BITS) for i, b in enumerate(bins)])
+                gaps = np.diff(places, prepend=0).astype("<u4")
+                planes = gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+                row = [
+                    np.array(part["toxic"].to_pylist(), np.uint8).tobytes(),
+                    np.array([len(b) for b in bins], "<u4").tobytes(),
+                    zstandard.compress(planes, 1),
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], pa.binary()) for x in row], ["labels", "sizes", "gaps"]
+                )
+
+    return texts.mapInArrow(run, "labels binary, sizes binary, gaps binary")
+
+
+def _blocks(
+    batches: Iterator[pa.RecordBatch],
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``labels, sizes, bins`` of each block that ``_features`` made."""
+    for batch in batches:
+        for labels, sizes, gaps in zip(*(batch[c] for c in range(3)), strict=True):
+            planes = np.frombuffer(zstandard.decompress(gaps.as_py()), np.uint8).reshape(4, -1)
+            places = np.cumsum(planes.T.copy().view("<u4").ravel(), dtype=np.int32)
+            yield (
+                np.frombuffer(labels.as_py(), np.uint8),
+                np.frombuffer(sizes.as_py(), "<u4"),
+                places & ((1 << BITS) - 1),
             )
 
-    return texts.mapInPandas(run, "label double, bins array<int>")
 
+def _summed(features: DataFrame, of_block: Callable, kind: str) -> list[np.ndarray]:
+    """The arrays that ``of_block(labels, sizes, bins)`` gives, added up over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[np.ndarray] = []
+        for block in _blocks(batches):
+            found = of_block(*block)
+            if not sums:
+                sums = [np.zeros(len(x), kind) for x in found]
+            for total, x in zip(sums, found, strict=True):
+                total += x
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([[x.tobytes() for x in sums]], pa.list_(pa.binary()))], ["sums"]
+            )
 
-def _log_ratios(features: DataFrame) -> np.ndarray:
-    """Log-count ratio of each bin, 0 where too few texts hold it."""
-    toxic = F.col("label") == 1
-    counts = (
-        features.select("label", F.explode("bins").alias("bin"))
-        .groupBy("bin")
-        .agg(F.count_if(toxic).alias("p"), F.count_if(~toxic).alias("q"))
-        .where(F.col("p") + F.col("q") >= MIN_TEXTS)
-    )
+    parts = features.coalesce(FIT_TASKS).mapInArrow(run, "sums array<binary>").collect()
+    return [
+        np.sum([np.frombuffer(x, kind) for x in same], axis=0)
+        for same in zip(*(r["sums"] for r in parts), strict=True)
+    ]
+
+
+def _log_ratios(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each bin in ``p`` toxic and ``q`` other texts, 0 where too few hold it."""
     ratios = np.zeros(1 << BITS)
-    found = counts.toPandas()  # at most one row per bin
-    if len(found):
-        p, q = found["p"].to_numpy() + 1.0, found["q"].to_numpy() + 1.0
-        ratios[found["bin"].to_numpy()] = np.log(p / p.sum()) - np.log(q / q.sum())
+    enough = p + q >= MIN_TEXTS
+    p, q = p[enough] + 1.0, q[enough] + 1.0
+    if len(p):
+        ratios[enough] = np.log(p / p.sum()) - np.log(q / q.sum())
     return ratios
 
 
+def _least(
+    f: Callable[[np.ndarray], tuple[float, np.ndarray]],
+    x: np.ndarray,
+    rounds: int,
+    history: int = 10,
+    tolerance: float = 1e-6,
+) -> np.ndarray:
+    """Where the convex ``f`` (value and gradient) is least, by L-BFGS from ``x``."""
+    value, slope = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, shares = slope.copy(), []
+        for s, y in reversed(steps):
+            shares.append((s @ way) / (y @ s))
+            way -= shares[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way *= (s @ y) / (y @ y)
+        else:
+            way /= max(float(np.linalg.norm(slope)), 1e-12)
+        for (s, y), share in zip(steps, reversed(shares), strict=True):
+            way += s * (share - (y @ way) / (y @ s))
+        size, fall = 1.0, float(slope @ way)
+        while True:
+            there = x - size * way
+            new_value, new_slope = f(there)
+            if new_value <= value - 1e-4 * size * fall:
+                break
+            size /= 2
+            if size < 1e-8:
+                return x
+        s, y = there - x, new_slope - slope
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-history:]
+        settled = value - new_value <= tolerance * max(abs(value), 1e-3)
+        x, value, slope = there, new_value, new_slope
+        if settled:
+            break
+    return x
+
+
+def _fitted(
+    features: DataFrame, ratios: np.ndarray, texts: int, share: float, penalty: float, rounds: int
+) -> tuple[np.ndarray, float]:
+    """Weights per bin and intercept of the logistic regression on ratio-scaled bins."""
+    context = features.sparkSession.sparkContext
+    size = 1 << BITS
+
+    def loss(point: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = context.broadcast((ratios * point[:-1], float(point[-1])))
+
+        def of_block(labels: np.ndarray, sizes: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
+            weights, intercept = shared.value
+            margins = np.full(len(labels), intercept)
+            held = sizes > 0
+            if held.any():
+                starts = (np.cumsum(sizes) - sizes)[held].astype(np.int64)
+                margins[held] += np.add.reduceat(weights[bins], starts)
+            sign = 2.0 * labels - 1.0
+            losses = np.logaddexp(0.0, -sign * margins)
+            errors = -sign / (1.0 + np.exp(np.clip(sign * margins, -500.0, 500.0)))
+            slopes = np.bincount(bins, np.repeat(errors, sizes), size)
+            return [slopes, np.array([losses.sum(), errors.sum()])]
+
+        slopes, (total, errors) = _summed(features, of_block, "<f8")
+        shared.destroy()
+        inner = point[:-1]
+        value = float(total) / texts + penalty / 2 * float(inner @ inner)
+        return value, np.append(ratios * slopes / texts + penalty * inner, errors / texts)
+
+    start = np.append(np.zeros(size), np.log(share / (1 - share)))
+    found = _least(loss, start, rounds)
+    return ratios * found[:-1], float(found[-1])
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -136,42 +270,40 @@ def fit_toxicity(
     rows: int = TRAIN_ROWS,
     max_iter: int = 100,
     penalty: float = 1e-3,
+    even: bool = False,
 ) -> ToxicityModel:
     """Fit on the documents that ``labels`` (``doc_id, toxic``) marks.
 
     Only texts enter the features. Null text is empty text. Where the labels know
     one class only, or nothing, the model is that class's share for every text, one
-    half without any label. Where the bound on rows takes more of one class than of the
-    other, the intercept takes that back, so a score means the same at every size.
+    half without any label. All labelled rows train up to ``rows``, above it a choice in
+    the same class shares. ``even`` draws the classes evenly, for labels of which next to
+    none are toxic; the intercept then takes the uneven sampling back.
     """
-    chosen = training_ids(labels, rows)
+    chosen = training_ids(labels, rows, even)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), full_text(text_col).alias("text"))
     # The list of ids is bounded by ``rows``, so the documents stay where they are.
     features = stage(_features(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")),
                      "features")
-    sizes = {r["label"]: r["count"] for r in features.groupBy("label").count().collect()}
-    if len(sizes) < 2:
-        share = 0.5 if not sizes else (0.999 if 1.0 in sizes else 0.001)
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    ratios = _log_ratios(features)
-    shared = features.sparkSession.sparkContext.broadcast(ratios)
-    size = 1 << BITS
 
-    @F.udf(VectorUDT())
-    def scaled(bins):
-        index = np.asarray(bins, dtype=np.int64)
-        values = shared.value[index]
-        held = values != 0
-        return SparseVector(size, index[held], values[held])
-
-    train = features.coalesce(FIT_TASKS).select("label", scaled("bins").alias("features"))
-    fitted = LogisticRegression(
-        maxIter=max_iter, regParam=penalty, standardization=False
-    ).fit(train)
-    return ToxicityModel(
-        (ratios * fitted.coefficients.toArray()).astype(np.float32),
-        float(fitted.intercept) - _oversampling(labels, rows),
-    )
+    def counts(labels: np.ndarray, sizes: np.ndarray, bins: np.ndarray) -> list[np.ndarray]:
+        toxic = np.repeat(labels == 1, sizes)
+        size = 1 << BITS
+        return [
+            np.bincount(bins[toxic], minlength=size),
+            np.bincount(bins[~toxic], minlength=size),
+            np.array([(labels == 1).sum(), len(labels)]),
+        ]
+
+    p, q, (toxic, n) = _summed(features, counts, "<i4") or [None, None, (0, 0)]
+    toxic, n = int(toxic), int(n)
+    if toxic in (0, n):
+        share = 0.5 if not n else (0.999 if toxic else 0.001)
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+    weights, intercept = _fitted(features, _log_ratios(p, q), n, toxic / n, penalty, max_iter)
+    if even:
+        intercept -= _oversampling(labels, rows)
+    return ToxicityModel(weights.astype(np.float32), intercept)
 
 
 def toxicity_score(text: Column, model: ToxicityModel) -> Column:
