@@ -106,6 +106,41 @@ def test_lines(docs, none):
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
 
 
+def brute_long_lines(rows, window, min_words):
+    seen, texts = set(), {}
+    for doc_id, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for size in range(1, window + 1):
+            for s in range(len(lines) - size + 1):
+                run = tuple(lines[s : s + size])
+                if size < window and sum(len(re.findall(r"\S+", x, re.A)) for x in run) <= min_words:
+                    continue
+                if run in seen:
+                    gone.update(range(s, s + size))
+                seen.add(run)
+        texts[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return texts
+
+
+def test_long_lines(spark):
+    words = " ".join(f"w{i}" for i in range(51))
+    half, other = " ".join(words.split()[:26]), " ".join(words.split()[25:])
+    rows = [
+        (1, words), (2, f"a\n{words}\nb"), (3, words), (4, f"{half}\n{other}\nc"),
+        (5, f"d\ne\n{half}\n{other}"), (6, f"f\n{half}"), (7, f"{words[:-4]}"),
+        (8, f"{words[:-4]}"), (9, f"g\n{words}\n{words}"), (10, ""), (11, "a"), (12, "x\ny\nz"),
+        (13, "x\ny\nz"),
+    ]
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows += [(100 + r["doc_id"], r["text"] or "") for r in small.select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_long_lines(rows, 3, 50)
+    assert want[2] == "a\nb" and want[3] == "" and want[5] == "d\ne" and want[8] == words[:-4]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
+    cut = line_dedup.with_lines_cut(docs).collect()
+    assert {r["doc_id"]: r["text"] for r in cut} == want
+
+
 def test_shards(docs, none, spark, tmp_path):
     got = sharding.interleaved_shards(docs, 4, bucket_rows=3).collect()
     assert len(got) == len(ROWS)
