@@ -380,3 +380,29 @@ def test_chat_long_conversation(spark):
     whole = "".join(r["piece"] for r in got)
     assert whole == chat.turn_template([(r[2], r[3]) for r in rows])
     assert all(whole[r["start"] : r["start"] + len(r["piece"])] == r["piece"] for r in got)
+
+
+def test_chat_templates_that_depend_on_all_turns(spark):
+    def counts(turns):
+        return f"{len(turns)} turns:" + "".join(t for _, t in turns)
+
+    def alternates(turns):
+        if any(role != ("user", "assistant")[i % 2] for i, (role, _) in enumerate(turns)):
+            raise ValueError("roles do not alternate")
+        return chat.turn_template(turns)
+
+    def forgets(turns):
+        """From turn 20 on the second turn is shortened."""
+        return "".join("..." if i == 1 and len(turns) > 20 else t for i, (_, t) in enumerate(turns))
+
+    rows = [(1, i, ("user", "assistant")[i % 2], f"text {i}") for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    given = [(r[2], r[3]) for r in rows]
+    rewritten = {counts: set(range(1, 40)), alternates: set(), forgets: {20}}
+    for template, rewrites in rewritten.items():
+        got = chat.format_conversations(turns, template).orderBy("position").collect()
+        assert {r["position"] for r in got if r["rewrites"]} == rewrites
+        whole = ""
+        for r in got:
+            whole = whole[: r["start"]] + r["piece"]
+            assert whole == template(given[: r["position"] + 1])

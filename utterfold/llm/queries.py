@@ -82,7 +82,9 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         tricky.alias("text"),
     )
-    return chat.digest_conversations(chat.format_conversations(turns.union(extra)))
+    # ``turn_template`` is local: each turn adds a span that depends on no other turn.
+    pieces = chat.format_conversations(turns.union(extra), lookback=chat.LOOKBACK)
+    return chat.digest_conversations(pieces)
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
