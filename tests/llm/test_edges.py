@@ -256,6 +256,38 @@ def test_suffixes(spark, none, monkeypatch):
     assert suffix_dedup.dedup_substrings(none).count() == 0
 
 
+def test_suffixes_at_a_crowded_gram(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 20)
+    monkeypatch.setattr(suffix_dedup, "CROWD_IN_RUN", 2)
+    phrase = hashlib.sha512(b"p").hexdigest()[:90]
+
+    def around(i):
+        return hashlib.sha512(str(i).encode()).hexdigest()[: 60 + i % 30]
+
+    rows = [(i, around(i) + phrase + around(-i % 50), "") for i in range(200)]
+    rows += [(i, around(i - 300) + phrase + around(7), "") for i in range(300, 340)]
+    rows += [(400, rows[3][1] * 2, ""), (None, rows[5][1], ""), (401, rows[5][1], "")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    texts = docs.selectExpr("coalesce(doc_id, -1) AS doc_ref", "xxhash64(text) AS doc_key", "text")
+    crowded = suffix_dedup._crowded(texts)
+    assert len(crowded)
+    held = {}
+    for hot in (crowded, crowded[:0]):
+        sorter = suffix_dedup._Sorter([], hot)
+        for i, (_, text, _) in enumerate(rows):
+            sorter.add(i, 0, text.encode())
+        sizes, keys = {}, suffix_dedup.merged([b for part, b in sorter.run() if part == 0])
+        for _, key, _, _ in keys:
+            sizes[key[:32]] = sizes.get(key[:32], 0) + 1
+        held[len(hot)] = max(sizes.values())
+    # No gram gathers more in one task; without the count one did.
+    assert held[len(crowded)] <= 20 < held[0]
+    want = brute_bytes([r for r in rows if r[0] != 9])
+    for r in suffix_dedup.dedup_substrings(docs.where("doc_id IS NULL OR doc_id != 9")).collect():
+        assert bytes(r["kept"]) == want[-1 if r["doc_id"] is None else r["doc_id"]]
+    assert any(len(t) < len(dict((r[0], r[1]) for r in rows)[i]) for i, t in want.items() if i != -1)
+
+
 def test_merge_keeps_order():
     import numpy as np
 

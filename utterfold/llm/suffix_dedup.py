@@ -12,10 +12,15 @@ suffix before, and the rest. Runs are cut at common splitters and exchanged; for
 range a loser tree merges its pieces. The tree keeps for every loser the prefix it shares
 with the last winner: unequal lengths decide a match without looking at the strings, and
 equal ones compare from there on.
+
+A phrase that very many texts hold in different surroundings would gather all of them at one
+gram, in one task. Such grams are counted beforehand and kept out of the runs; the strings
+at them become rows keyed by a digest, whose least place is found by aggregation.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -33,6 +38,9 @@ from .common import full_text, stage
 LENGTH, GRAM = 100, 32
 #: Text bytes that one sorted run covers, and that one range of the merge gets.
 RUN_BYTES, RANGE_BYTES = 12 << 20, 24 << 20
+#: Suffixes that may meet at one gram in the merge. Counted are grams that as many
+#: different suffixes of a run hold as the second number says.
+CROWD, CROWD_IN_RUN = 20_000, 8
 #: Documents that the splitters are taken from, and suffixes of each.
 SAMPLE_DOCS, SAMPLE_EACH = 2000, 8
 _SPLIT = 16  # bytes of a splitter: fewer than a gram, so equal grams stay together
@@ -60,8 +68,8 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return hashes * np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``pos, first, last``: anchors, and the first and last start of their strings."""
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``pos, first, last, gram``: anchors, first and last start of their strings, gram hash."""
     found = []
     for at in range(0, max(len(raw) - LENGTH + 1, 0), _PIECE):
         part = raw[at : at + _PIECE + LENGTH - 1]
@@ -75,10 +83,10 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pos = (least & _INDEX).astype(np.int64)
         turn = np.flatnonzero(np.diff(pos, prepend=-1))
         last = np.append(turn[1:], len(pos)) - 1
-        found.append((pos[turn] + at, turn + at, last + at))
+        found.append((pos[turn] + at, turn + at, last + at, hashes[pos[turn]]))
     if not found:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -254,8 +262,8 @@ def _packed(marks: list[tuple[int, int, int, int]]) -> bytes:
 class _Sorter:
     """Collects suffixes up to a run's size and yields the run's pieces."""
 
-    def __init__(self, splitters: list[bytes]):
-        self.splitters = splitters
+    def __init__(self, splitters: list[bytes], crowded: np.ndarray):
+        self.splitters, self.crowded = splitters, crowded
         self.clear()
 
     def clear(self) -> None:
@@ -266,7 +274,10 @@ class _Sorter:
 
     def add(self, ref: int, key: int, text: bytes) -> None:
         raw = np.frombuffer(text, dtype=np.uint8)
-        pos, first, last = anchors(raw)
+        pos, first, last, gram = anchors(raw)
+        if len(self.crowded):
+            calm = ~np.isin(gram, self.crowded)
+            pos, first, last = pos[calm], first[calm], last[calm]
         end = last + LENGTH
         for p, a, b in zip(pos.tolist(), first.tolist(), end.tolist(), strict=True):
             self.keys.append(text[p:b] + text[a:p])
@@ -350,6 +361,111 @@ def _merge_range(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
     return _joined(marks)
 
 
+# --- crowded grams -------------------------------------------------------------------
+
+
+def _crowded(texts: DataFrame) -> np.ndarray:
+    """Hashes of the grams at which more than CROWD suffixes would meet in the merge.
+
+    Suffixes that are equal within a run count once, as the run reduces them.
+    """
+    run_bytes, least = RUN_BYTES, CROWD_IN_RUN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: list[np.ndarray] = []
+        wholes: list[int] = []
+        size = 0
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            gram = np.concatenate(grams)
+            whole = np.array(wholes, dtype=np.int64).view(np.uint64)
+            both = gram ^ (whole * np.uint64(0x9E3779B97F4A7C15))
+            found, n = np.unique(gram[np.unique(both, return_index=True)[1]], return_counts=True)
+            often = n >= least
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))],
+                ["gram", "n"],
+            )
+
+        for batch in batches:
+            for value in batch["text"]:
+                text = value.as_py().encode("utf-8", "surrogatepass")
+                _, first, last, gram = anchors(np.frombuffer(text, dtype=np.uint8))
+                grams.append(gram)
+                ends = (last + LENGTH).tolist()
+                wholes += [hash(text[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+                size += len(text)
+                if size >= run_bytes:
+                    yield from counts()
+                    grams, wholes, size = [], [], 0
+        if grams:
+            yield from counts()
+
+    counted = texts.select("text").mapInArrow(run, "gram long, n long")
+    sums = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD)
+    return np.array(sorted(r["gram"] for r in sums.collect()), dtype=np.int64).view(np.uint64)
+
+
+def _crowded_marks(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
+    """``doc_ref, doc_key, start, end`` of the repeated strings at crowded grams.
+
+    Strings are reduced to their least place before the shuffle, so one that stands in a
+    third of all texts arrives as a few rows; its other places are marked at once.
+    """
+    most = 200_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_place: dict[bytes, tuple[int, int, int]] = {}
+        later: list[tuple[int, int, int]] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            digests = [*first_place, *[None] * len(later)]
+            places = [*first_place.values(), *later]
+            columns = [pa.array([x[i] for x in places], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), *columns], ["digest", "doc_ref", "doc_key", "start"]
+            )
+            first_place.clear()
+            later.clear()
+
+        for batch in batches:
+            for ref, key, value in zip(
+                batch["doc_ref"], batch["doc_key"], batch["text"], strict=True
+            ):
+                ref, key = ref.as_py(), key.as_py()
+                text = value.as_py().encode("utf-8", "surrogatepass")
+                _, first, last, gram = anchors(np.frombuffer(text, dtype=np.uint8))
+                held = np.isin(gram, crowded)
+                for a, b in zip(first[held].tolist(), last[held].tolist(), strict=True):
+                    for start in range(a, b + 1):
+                        string = text[start : start + LENGTH]
+                        digest = hashlib.blake2b(string, digest_size=16).digest()
+                        place = (ref, key, start)
+                        known = first_place.setdefault(digest, place)
+                        if known != place:
+                            first_place[digest] = min(known, place)
+                            later.append(max(known, place))
+                    if len(first_place) + len(later) >= most:
+                        yield from rows()
+        yield from rows()
+
+    schema = "digest binary, doc_ref long, doc_key long, start long"
+    strings = texts.select("doc_ref", "doc_key", "text").mapInArrow(run, schema)
+    strings = stage(strings, "strings")
+    place = F.struct("doc_ref", "doc_key", "start")
+    least = (
+        strings.where(F.col("digest").isNotNull())
+        .groupBy("digest")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .drop("last")
+    )
+    again = strings.join(least.hint("merge"), "digest").where(place > F.col("first"))
+    columns = ["doc_ref", "doc_key", "start", (F.col("start") + LENGTH).alias("end")]
+    at_once = strings.where(F.col("digest").isNull())
+    return again.select(*columns).union(at_once.select(*columns))
+
+
 # --- the operator --------------------------------------------------------------------
 
 
@@ -384,9 +500,10 @@ def _marks(texts: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     splitters = _splitters(texts, max(1, -(-total // RANGE_BYTES)))
     parts = len(splitters) + 1
+    crowded = _crowded(texts)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter = _Sorter(splitters)
+        sorter = _Sorter(splitters, crowded)
 
         def pieces() -> Iterator[pa.RecordBatch]:
             for part, blob in sorter.run():
@@ -425,7 +542,8 @@ def _marks(texts: DataFrame) -> DataFrame:
 
     runs = texts.mapInArrow(sort, "part int, blob binary")
     schema = "doc_ref long, doc_key long, start long, end long"
-    return runs.repartition(2 * parts, "part").groupBy("part").applyInPandas(merge, schema)
+    marks = runs.repartition(2 * parts, "part").groupBy("part").applyInPandas(merge, schema)
+    return marks.union(_crowded_marks(texts, crowded)) if len(crowded) else marks
 
 
 def dedup_substrings(
