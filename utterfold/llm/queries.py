@@ -17,6 +17,7 @@ from . import (
     chat,
     decontaminate,
     exact_dedup,
+    filter_audit,
     line_dedup,
     minhash,
     secret_scan,
@@ -134,6 +135,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 _OP3_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -235,6 +240,63 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN doc_items USING (doc_id)
 """
 
+_OP13_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                       lambda w: w <> '') AS words,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS again
+    FROM documents
+), fails AS (
+    SELECT doc_id, part, len(words) < 50 AS a,
+           100 * len(list_distinct(words)) < 65 * len(words) AS b,
+           100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c,
+           regexp_matches(t, '[#$%&*|]') AS d, again AS e
+    FROM docs
+), judged AS (
+    SELECT *, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END,
+                     CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END,
+                     CASE WHEN e THEN 'E' ELSE '' END) AS failed
+    FROM fails
+), known AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad
+    FROM labels GROUP BY doc_id
+), counts AS (
+    SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+           count(*) FILTER (WHERE bad) AS bad
+    FROM judged LEFT JOIN known USING (doc_id) GROUP BY part, failed
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order
+    FROM letters p, letters q, letters r, letters s, letters t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+    SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter,
+           substr(filter_order, 1, step - 1) AS earlier
+    FROM orders, range(1, 6) r(step)
+), at_step AS (
+    SELECT part, filter_order, step, letter, n, good, bad, failed,
+           contains(failed, letter) AS fails_here,
+           translate(failed, earlier, '') <> failed AS gone
+    FROM counts, steps
+), per_step AS (
+    SELECT part, filter_order, step, any_value(letter) AS letter,
+           coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_here), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE NOT gone AND fails_here), 0) AS removed,
+           coalesce(sum(n) FILTER (WHERE gone AND fails_here), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE failed = letter), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (WHERE NOT gone AND fails_here), 0) AS good_lost,
+           coalesce(sum(bad) FILTER (WHERE NOT gone AND fails_here), 0) AS toxic_lost
+    FROM at_step GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM per_step
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_scan": op2_secret_scan,
@@ -246,6 +308,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -253,4 +316,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": _OP5_SQL,
     "op7_line_dedup": _OP7_SQL,
     "op10_decontaminate": _OP10_SQL,
+    "op13_filter_audit": _OP13_SQL,
 }
