@@ -87,15 +87,18 @@ def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and go on from the files.
 
     Lost executors cost a file read, row ids made with
     ``monotonically_increasing_id`` stay what they are, and the shuffles that
-    made the table give their disk back.
+    made the table give their disk back. Readers take thousands of rows of a file at
+    once, so rows of megabytes need a bound on ``rows_per_file``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with _freeing_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(
+            path
+        )
     return spark.read.schema(df.schema).parquet(path)

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from . import (
     bpe,
     chat,
+    collocations,
     decontaminate,
     exact_dedup,
     filter_audit,
     line_dedup,
     minhash,
+    ngram_join,
     secret_scan,
     sharding,
     suffix_dedup,
@@ -135,6 +137,14 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -240,6 +250,49 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN per_doc USING (doc_id) LEFT JOIN doc_items USING (doc_id)
 """
 
+_OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+    FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), grams AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+          FROM worded, range(1, 6) r(k) WHERE len(w) >= k)
+    GROUP BY lang, k, phrase HAVING count(*) >= 100
+), candidates AS (
+    SELECT *, string_split(phrase, ' ') AS ws FROM grams WHERE k >= 2
+), inner_phrases AS (
+    SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(f) AS longer
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 5) r(m) WHERE m < k)
+    GROUP BY ALL
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, n,
+           (CAST(1000 AS HUGEINT) * c.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+    JOIN totals USING (lang)
+    JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1 : cut], ' ')
+    JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1 : c.k], ' ')
+), best AS (
+    SELECT * FROM cuts
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+    SELECT best.* FROM best LEFT JOIN inner_phrases i USING (lang, phrase)
+    WHERE coalesce(100 * i.longer < 100 * a, true)
+)
+SELECT lang, row_number() OVER by_score AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept
+WINDOW by_score AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER by_score <= 2000
+"""
+
 _OP13_SQL = r"""
 WITH docs AS (
     SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
@@ -308,6 +361,8 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -316,5 +371,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_format": _OP5_SQL,
     "op7_line_dedup": _OP7_SQL,
     "op10_decontaminate": _OP10_SQL,
+    "op12_collocations": _OP12_SQL,
     "op13_filter_audit": _OP13_SQL,
 }
