@@ -7,9 +7,9 @@ shingle are looked at. Of these pairs three filters drop those that cannot be si
 
 * length: the smaller set has at least the wanted part of the larger one's size;
 * position: what is common before, at and after the shingle that both share is enough;
-* suffix: the sets differ in few enough shingles. Behind the shared shingle each set's
-  shingles are dealt into 256 cells; a cell that is odd in one set and even in the other
-  holds a difference.
+* suffix: the sets differ in few enough shingles. Those that no other set has are
+  differences; the others, before and after the shared one, are dealt into cells, and a
+  cell that is odd in one set and even in the other holds a difference.
 
 What is left is confirmed on the full sets, once per pair.
 
@@ -20,7 +20,8 @@ counted in full.
 
 Documents with equal sets are one class. Links within a component add nothing to the
 result, so a prefix shingle's holders are compared with one of them first, and afterwards
-only across components: a large group of near copies is no set of all pairs.
+only across components. That one is the holder with the fewest shingles of its own, which
+among near copies is the one nearest to all: a large group of them is no set of all pairs.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ WORDS, PERCENT = 4, 85
 EXTRA = 20
 
 _NO_ID = -(2**63)
-_PARITY = ["p0", "p1", "p2", "p3"]
+#: Parities of the shingles before a position, and of those after it.
+_BEFORE, _AFTER = ["q0"], ["p0", "p1", "p2", "p3"]
+_POSTING = ["class", "size", "pos", "alone", *_BEFORE, *_AFTER]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -152,42 +155,43 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _parities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Per shingle, as ``words`` 64-bit numbers, the one cell that it falls in."""
+    cell = _mixed(hashes) & np.uint64(64 * words - 1)
+    single = np.zeros((len(hashes), words), np.uint64)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    single[np.arange(len(hashes)), (cell >> np.uint64(6)).astype(int)] = bit
+    return single
+
+
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """``shingle, class, size, pos`` per shared prefix shingle, and parities of what follows."""
+    """``shingle`` and the columns of ``_POSTING`` for each shared shingle of each prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(4 + len(_PARITY))]
+            parts = []
             for name, size, alone, shared in zip(
                 *(batch[c] for c in ("class", "size", "alone", "shared")), strict=True
             ):
                 n, first = size.as_py(), alone.as_py()
                 hashes = np.asarray(shared.values).view(np.uint64)
-                cell = _mixed(hashes) & np.uint64(64 * len(_PARITY) - 1)
-                single = np.zeros((len(hashes), len(_PARITY)), np.uint64)
-                single[np.arange(len(hashes)), (cell >> np.uint64(6)).astype(int)] = np.uint64(
-                    1
-                ) << (cell & np.uint64(63))
-                after = np.bitwise_xor.accumulate(single[::-1], axis=0)[::-1] ^ single
+                front, back = _parities(hashes, len(_BEFORE)), _parities(hashes, len(_AFTER))
+                before = np.bitwise_xor.accumulate(front, axis=0) ^ front
+                after = np.bitwise_xor.accumulate(back[::-1], axis=0)[::-1] ^ back
                 length = n - -(-n * percent // 100) + 1 - first
-                columns[0].append(hashes[:length])
-                columns[1].append(np.full(length, name.as_py(), np.int64))
-                columns[2].append(np.full(length, n, np.int64))
-                columns[3].append(np.arange(first, first + length))
-                for i in range(len(_PARITY)):
-                    columns[4 + i].append(after[:length, i])
-            if columns[0]:
-                joined = [np.concatenate(c) for c in columns]
+                row = np.zeros((length, 1 + len(_POSTING)), np.uint64)
+                row[:, 0] = hashes[:length]
+                row[:, 1:5] = np.array([name.as_py(), n, 0, first], np.uint64)
+                row[:, 3] = np.arange(first, first + length)
+                row[:, 5:] = np.concatenate([before, after], axis=1)[:length]
+                parts.append(row)
+            if parts:
+                columns = np.concatenate(parts).view(np.int64).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.uint64).view(np.int64)) for c in joined],
-                    ["shingle", "class", "size", "pos", *_PARITY],
+                    [pa.array(np.ascontiguousarray(c)) for c in columns], ["shingle", *_POSTING]
                 )
 
-    return ordered.mapInArrow(
-        run,
-        "shingle long, class long, size long, pos long, "
-        + ", ".join(f"{p} long" for p in _PARITY),
-    )
+    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in ["shingle", *_POSTING]))
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -196,13 +200,16 @@ def _possible(x: str, y: str, percent: int) -> Column:
     def of(name: str) -> tuple[Column, Column]:
         return F.col(f"{x}.{name}"), F.col(f"{y}.{name}")
 
-    (m, n), (i, j) = of("size"), of("pos")
+    def odd(names: list[str]) -> Column:
+        return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(of, names)), F.lit(0))
+
+    (m, n), (i, j), (own, other) = of("size"), of("pos"), of("alone")
     length = F.least(m, n) * 100 >= F.greatest(m, n) * percent
     # overlap * (100 + percent) >= (m + n) * percent says that the similarity is reached
-    common = F.least(i, j) + 1 + F.least(m - i, n - j) - 1
+    common = F.least(i - own, j - other) + F.least(m - i, n - j)
     position = common * (100 + percent) >= (m + n) * percent
-    odd = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(of, _PARITY)), F.lit(0))
-    differ = F.abs(i - j) + odd
+    before = F.greatest(F.abs((i - own) - (j - other)), odd(_BEFORE))
+    differ = own + other + before + odd(_AFTER)
     suffix = (m + n - differ) * (100 + percent) >= (m + n) * percent * 2
     return length & position & suffix
 
@@ -232,41 +239,42 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: each holder of a prefix shingle with the shingle's least holder."""
-    row = ["class", "size", "pos", *_PARITY]
+    """``a, b``: each holder of a prefix shingle with the one that has the least of its own."""
     counts = index.groupBy("shingle").agg(
-        F.count("*").alias("n"), F.min(F.struct(*row)).alias("y")
+        F.count("*").alias("n"), F.min(F.struct("alone", F.struct(*_POSTING))).alias("hub")
     )
-    hubs = stage(counts.where("n > 1"), "hubs")
+    hubs = stage(counts.where("n > 1").select("shingle", "n", F.col("hub.col2").alias("y")), "hubs")
     hot = hot_keys(hubs, index.count(), ["shingle"])
-    left = index.select("shingle", F.struct(*row).alias("x"))
+    left = index.select("shingle", F.struct(*_POSTING).alias("x"))
     met = salted_join(left, hubs.select("shingle", "y"), ["shingle"], F.col("x.class"), hot=hot)
     return (
         met.where((F.col("x.class") != F.col("y.class")) & _possible("x", "y", percent))
-        .select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+        .select(
+            F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")
+        )
         .distinct()
     )
 
 
 def _pairs_across(index: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: holders of one prefix shingle that are in different components."""
+    """``a, b``: holders of one prefix shingle that are in different components.
+
+    They are looked at two by two, and only those that pass all filters leave the join.
+    """
     rooted = stage(_rooted(index, roots), "rooted")
     mixed = (
         rooted.groupBy("shingle")
-        .agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
-        )
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
         .where("low != high")
     )
     mixed = stage(mixed.select("shingle", "n"), "mixed")
     hot = hot_keys(mixed, rooted.count(), ["shingle"])
-    left = stage(
+    open_ = stage(
         salted_join(rooted, mixed.select("shingle"), ["shingle"], F.col("class"), hot=hot), "open"
     )
-    hot = hot_keys(mixed, left.count(), ["shingle"])
-    row = ["root", "class", "size", "pos", *_PARITY]
-    x = left.select("shingle", F.struct(*row).alias("x"))
-    y = left.select("shingle", F.struct(*row).alias("y"))
+    hot = hot_keys(mixed, open_.count(), ["shingle"])
+    row = F.struct("root", *_POSTING)
+    x, y = open_.select("shingle", row.alias("x")), open_.select("shingle", row.alias("y"))
     met = salted_join(x, y, ["shingle"], F.col("x.class"), hot=hot)
     return (
         met.where((F.col("x.root") < F.col("y.root")) & _possible("x", "y", percent))
@@ -316,10 +324,9 @@ def _links(
     tried = stage(_hub_pairs(index, percent), "pairs")
     links = _confirmed(tried, sets, percent)
     roots = stage(components(links), "roots")
-    # a pair that was tried has one end at a hub, whichever of the two is larger
-    seen = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = _pairs_across(index, roots, percent).join(seen, ["a", "b"], "left_anti")
-    return links.union(_confirmed(stage(across, "pairs"), sets, percent))
+    across = stage(_pairs_across(index, roots, percent), "across")
+    open_ = stage(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.union(_confirmed(open_, sets, percent))
 
 
 def joined_sets(
