@@ -12,16 +12,19 @@ the left. No phrase is looked up, and a task holds five phrases at a time.
 A phrase can be frequent only if both phrases it holds with one word less are. Phrases
 are therefore counted length by length, and a bit sketch of those found frequent tells
 which longer ones need counting at all. The sketch has a fixed size; a false alarm costs
-a counted row and changes nothing.
+a counted row and changes nothing. Each length is counted in rounds, every phrase in one
+of them, so that only a part of the counts that most phrases never outlive is on disk.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ SKETCH_BITS = 1 << 26
 #: Bytes of text coded together. A block's words are numbered, so it is a row of up to a
 #: few megabytes, and few of them go into one file.
 BLOCK_BYTES, BLOCKS_PER_FILE = 6 << 20, 4
+#: Rounds in which the phrases of one length are counted.
+ROUNDS = 3
 #: Lists per language are made in so many parts first.
 PARTS = 64
 
@@ -89,15 +94,17 @@ def _slots(hashes: np.ndarray, lang: str) -> np.ndarray:
     return (_mixed(hashes ^ _salt(lang)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
 
 
+def _hashed(words: Sequence[np.ndarray]) -> np.ndarray:
+    """A hash per phrase, of whose words the arrays hold the first, second and so on."""
+    out = np.zeros(len(words[0]), np.uint64)
+    for codes in words:
+        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + codes
+    return _mixed(out + np.uint64(len(words)))
+
+
 def _phrases(codes: np.ndarray, n: int) -> np.ndarray:
     """A hash for the ``n`` words from each position on."""
-    last = len(codes) - n + 1
-    if n == 1 or last <= 0:
-        return codes[: max(last, 0)]
-    out = np.zeros(last, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + codes[i : last + i]
-    return _mixed(out + np.uint64(n))
+    return _hashed([codes[i : len(codes) - n + 1 + i] for i in range(n)])
 
 
 def _block(coder: WordCoder, lang: str, texts: list[str]) -> list | None:
@@ -130,12 +137,11 @@ def _block(coder: WordCoder, lang: str, texts: list[str]) -> list | None:
         [known[int(c)] for c in distinct],
         distinct.view(np.int64),
         counts.astype(np.int64),
-        _slots(distinct, lang),
     ]
 
 
 def _blocks(texts: DataFrame) -> DataFrame:
-    """``lang, numbers, words, codes, counts, slots``: the texts of a language, coded.
+    """``lang, numbers, words, codes, counts``: the texts of a language, coded.
 
     ``numbers`` holds four bytes per word: its place in the block's sorted ``codes``, and
     the highest bit where a piece begins. The other arrays have an item per distinct word.
@@ -150,10 +156,10 @@ def _blocks(texts: DataFrame) -> DataFrame:
             row = _block(coder, lang, waiting.pop(lang))
             sizes.pop(lang)
             if row:
-                kinds = [pa.string(), pa.binary(), pa.list_(pa.string()), *[_LONGS] * 3]
+                kinds = [pa.string(), pa.binary(), pa.list_(pa.string()), *[_LONGS] * 2]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], k) for x, k in zip(row, kinds, strict=True)],
-                    ["lang", "numbers", "words", "codes", "counts", "slots"],
+                    ["lang", "numbers", "words", "codes", "counts"],
                 )
 
         for batch in batches:
@@ -170,8 +176,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
     return texts.mapInArrow(
         run,
-        "lang string, numbers binary, words array<string>, codes array<long>, "
-        "counts array<long>, slots array<long>",
+        "lang string, numbers binary, words array<string>, codes array<long>, counts array<long>",
     )
 
 
@@ -184,35 +189,42 @@ def _keys(rows: np.ndarray) -> pa.Array:
     return fixed.cast(pa.binary())
 
 
-def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    """``lang, key, slot, a`` of the phrases that occur ``least`` times or more."""
-    return (
-        counted.groupBy("lang", "key")
-        .agg(F.sum("n").alias("a"), F.min("slot").alias("slot"))
-        .where(F.col("a") >= least)
-        .select("lang", "key", "slot", "a")
-    )
+def _slots_of(phrases: DataFrame, n: int) -> DataFrame:
+    """``slot`` of each ``lang, key`` with phrases of ``n`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1 << 14):
+                langs = np.array(batch["lang"][at : at + (1 << 14)].to_pylist(), object)
+                keys = b"".join(batch["key"][at : at + (1 << 14)].to_pylist())
+                hashes = _hashed(np.frombuffer(keys, ">u8").reshape(-1, n).T.astype(np.uint64))
+                for lang in set(langs):
+                    slots = _slots(hashes[langs == lang], lang)
+                    yield pa.RecordBatch.from_arrays([pa.array(slots)], ["slot"])
 
+    return phrases.select("lang", "key").mapInArrow(run, "slot long")
 
-def _sketch(frequent: DataFrame) -> np.ndarray:
+
+def _sketch(frequent: DataFrame, n: int) -> np.ndarray:
     """The bits of the frequent phrases' slots, as bytes of a fixed number."""
-    parts = frequent.groupBy(F.shiftright("slot", 15).alias("bucket")).agg(
+    slots = _slots_of(frequent, n)
+    parts = slots.groupBy(F.shiftright("slot", 15).alias("bucket")).agg(
         F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(_BUCKET - 1))).alias("bits")
     )
     bits = np.zeros(SKETCH_BITS // 8, np.uint8)
     size = _BUCKET // 8
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         at = row["bucket"] * size
         bits[at : at + size] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
 
-def _longer(blocks: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
-    """``lang, key, slot, n``: phrases of ``n`` words whose two parts the sketch knows.
+def _longer(blocks: DataFrame, n: int, sketch: Broadcast, turn: int) -> DataFrame:
+    """``lang, key, n``: phrases of ``n`` words whose two parts the sketch knows.
 
-    A row counts a phrase within a block.
+    A row counts a phrase within a block. ``turn`` is one of ``ROUNDS``; each phrase has
+    its own.
     """
-    sketch = blocks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sketch.value
@@ -230,23 +242,43 @@ def _longer(blocks: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
                 if not len(at):
                     continue
                 hashes = _phrases(words, n)[at]
+                mine = (hashes >> np.uint64(48)) % np.uint64(ROUNDS) == np.uint64(turn)
+                hashes, at = hashes[mine], at[mine]
                 found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
                 rows = words[at[first][:, None] + np.arange(n)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(found), pa.string()),
                         _keys(rows),
-                        pa.array(_slots(found, name)),
                         pa.array(counts.astype(np.int64)),
                     ],
-                    ["lang", "key", "slot", "n"],
+                    ["lang", "key", "n"],
                 )
 
     return blocks.select("lang", "numbers", "codes").mapInArrow(
-        run, "lang string, key binary, slot long, n long"
+        run, "lang string, key binary, n long"
     )
 
 
+def _frequent(blocks: DataFrame, n: int, shorter: DataFrame, least: int) -> DataFrame:
+    """``lang, key, a``: phrases of ``n`` words that occur ``least`` times or more.
+
+    ``shorter`` holds those of one word less.
+    """
+    sketch = blocks.sparkSession.sparkContext.broadcast(_sketch(shorter, n - 1))
+    found = [
+        stage(
+            _longer(blocks, n, sketch, turn)
+            .groupBy("lang", "key")
+            .agg(F.sum("n").alias("a"))
+            .where(F.col("a") >= least),
+            f"phrases_{n}",
+        )
+        for turn in range(ROUNDS)
+    ]
+    return functools.reduce(DataFrame.union, found)
+
+
 def _lockstep(stream: DataFrame, side: str, others: list[str]) -> DataFrame:
     """Read the stream in the order of ``key``, all lengths at once.
 
@@ -327,25 +359,24 @@ def phrase_counts(
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG))
     texts = docs.select(lang.alias("lang"), full_text(text_col).alias("text"))
     blocks = stage(_blocks(texts), "blocks", BLOCKS_PER_FILE)
-    words = blocks.select("lang", F.inline(F.arrays_zip("words", "codes", "counts", "slots")))
+    words = blocks.select("lang", F.inline(F.arrays_zip("words", "codes", "counts")))
     counted = words.groupBy("lang", "codes").agg(
-        F.sum("counts").alias("a"), F.min("words").alias("word"), F.min("slots").alias("slot")
+        F.sum("counts").alias("a"), F.min("words").alias("word")
     )
     in_block = F.aggregate("counts", F.lit(0).cast("long"), lambda total, x: total + x)
     totals = stage(blocks.groupBy("lang").agg(F.sum(in_block).alias("n")), "totals")
     code = F.unhex(F.lpad(F.hex("codes"), 16, "0"))
     vocabulary = stage(
-        counted.where(F.col("a") >= least).select("lang", code.alias("key"), "slot", "a", "word"),
+        counted.where(F.col("a") >= least).select("lang", code.alias("key"), "a", "word"),
         "vocabulary",
     )
     current = vocabulary.drop("word")
     stream = current
     for n in range(2, longest + 1):
-        found = _frequent(_longer(blocks, n, _sketch(current)), least)
-        current = stage(found, f"phrases_{n}")
+        current = _frequent(blocks, n, current, least)
         stream = stream.union(current)
     return (
-        stream.select("lang", "key", "a"),
+        stream,
         vocabulary.select("lang", F.col("key").alias("code"), "word"),
         totals,
     )
