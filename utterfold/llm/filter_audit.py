@@ -164,7 +164,8 @@ def mask_counts(
     """``part, mask, n, good, toxic``: documents per part and mask, and how many are labelled.
 
     ``labels`` has ``doc_id, quality, toxic``. An id with several labels is good if one says
-    quality 1, and toxic if one says toxic 1; an id without label is neither.
+    quality 1, and toxic if one says toxic 1; an id without label is neither,
+    and so is a null id.
     """
     known = labels.select(F.col("doc_id").cast("long"), "quality", "toxic").groupBy("doc_id").agg(
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("is_good"),
