@@ -42,6 +42,8 @@ from .skew import count_keys, hot_keys, salted_join
 WORDS, PERCENT = 4, 85
 #: The first round's prefixes are longer by one shingle and by one in so many.
 EXTRA = 20
+#: A prefix shingle with more than this part of the open postings is joined in parts.
+PAIR_SHARES = 32
 
 _NO_ID = -(2**63)
 #: Parities of the shingles before a position, and of those after it.
@@ -272,7 +274,8 @@ def _pairs_across(index: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     open_ = stage(
         salted_join(rooted, mixed.select("shingle"), ["shingle"], F.col("class"), hot=hot), "open"
     )
-    hot = hot_keys(mixed, open_.count(), ["shingle"])
+    # both sides grow with a hot shingle here, so its holders are dealt into few parts
+    hot = hot_keys(mixed, open_.count(), ["shingle"], PAIR_SHARES)
     row = F.struct("root", *_POSTING)
     x, y = open_.select("shingle", row.alias("x")), open_.select("shingle", row.alias("y"))
     met = salted_join(x, y, ["shingle"], F.col("x.class"), hot=hot)
