@@ -8,7 +8,6 @@ pairs on either side. Decoding concatenates the vocabulary's strings.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -45,12 +44,12 @@ def _code_points(prop: str) -> str:
     )
 
 
-@functools.cache
 def word_patterns() -> tuple[re.Pattern, regex.Pattern]:
     """For texts of the basic plane, and for all.
 
     The first spells the classes out for the standard library's matcher, which is
-    twice as fast on them.
+    twice as fast on them. A task calls this once; a cache around it would make the
+    function travel to the executors by its module's name.
     """
     basic = {"letters": _code_points(r"\p{L}"), "numbers": _code_points(r"\p{N}")}
     whole = {"letters": r"\p{L}", "numbers": r"\p{N}"}
