@@ -6,7 +6,7 @@ much more often it occurs in toxic training texts than in others, and a logistic
 regression is fitted on the scaled features. Ratio and coefficient multiply to one
 weight per bin, so a model is one array of fixed length, whatever the corpus.
 
-The fit is L-BFGS on the driver; tasks return the loss and one gradient of all bins. It
+The fit is L-BFGS on the driver; the executors add up the tasks' losses and gradients. It
 searches in the space of the ratio-scaled features. Dividing them by their deviation
 first, as MLlib does, makes rare bins as steep as telling ones and loses recall.
 """
@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,11 @@ BITS = 17
 TRAIN_ROWS = 1_000_000
 #: N-grams in fewer training texts say nothing.
 MIN_TEXTS = 4
-#: Tasks at most that share the training rows. Each sends one gradient of all bins (1 MB)
-#: per round to the driver, so their number is bounded, not left to the number of files.
+#: Tasks at most that share the training rows. Each shuffles one gradient of all bins (1 MB)
+#: per round, so their number is bounded, not left to the number of files.
 FIT_TASKS = 64
+#: Numbers of a gradient that travel together.
+_NUMBERS = 1 << 15
 #: Training texts whose bins are stored together.
 _BLOCK = 64
 
@@ -154,27 +158,29 @@ def _blocks(
             )
 
 
-def _summed(features: DataFrame, of_block: Callable, kind: str) -> list[np.ndarray]:
-    """The arrays that ``of_block(labels, sizes, bins)`` gives, added up over all blocks."""
+def _summed(features: DataFrame, of_block: Callable, sizes: list[int]) -> list[np.ndarray]:
+    """The arrays that ``of_block(labels, sizes, bins)`` gives, added up over all blocks.
+
+    ``sizes`` are their lengths. Tasks send them in pieces, the executors add each piece up,
+    and the driver gets every number once, however many tasks there are.
+    """
+    width = sum(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[np.ndarray] = []
+        total = np.zeros(width)
         for block in _blocks(batches):
-            found = of_block(*block)
-            if not sums:
-                sums = [np.zeros(len(x), kind) for x in found]
-            for total, x in zip(sums, found, strict=True):
-                total += x
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([[x.tobytes() for x in sums]], pa.list_(pa.binary()))], ["sums"]
-            )
+            total += np.concatenate(of_block(*block))
+        for at in range(0, width, _NUMBERS):
+            row = [pa.array([at]), pa.array([total[at : at + _NUMBERS]], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(row, ["at", "sums"])
 
-    parts = features.coalesce(FIT_TASKS).mapInArrow(run, "sums array<binary>").collect()
-    return [
-        np.sum([np.frombuffer(x, kind) for x in same], axis=0)
-        for same in zip(*(r["sums"] for r in parts), strict=True)
-    ]
+    parts = features.coalesce(FIT_TASKS).mapInArrow(run, "at long, sums array<double>")
+    added = parts.groupBy("at").agg(Summarizer.sum(array_to_vector(F.col("sums"))).alias("sums"))
+    total = np.zeros(width)
+    for batch in added.select("at", vector_to_array("sums").alias("sums")).toArrow().to_batches():
+        for at, sums in zip(batch["at"].to_pylist(), batch["sums"], strict=True):
+            total[at : at + len(sums)] = sums.values.to_numpy()
+    return np.split(total, np.cumsum(sizes)[:-1])
 
 
 def _log_ratios(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -251,7 +257,7 @@ def _fitted(
             slopes = np.bincount(bins, np.repeat(errors, sizes), size)
             return [slopes, np.array([losses.sum(), errors.sum()])]
 
-        slopes, (total, errors) = _summed(features, of_block, "<f8")
+        slopes, (total, errors) = _summed(features, of_block, [size, 2])
         shared.destroy()
         inner = point[:-1]
         value = float(total) / texts + penalty / 2 * float(inner @ inner)
@@ -295,7 +301,7 @@ def fit_toxicity(
             np.array([(labels == 1).sum(), len(labels)]),
         ]
 
-    p, q, (toxic, n) = _summed(features, counts, "<i4") or [None, None, (0, 0)]
+    p, q, (toxic, n) = _summed(features, counts, [1 << BITS, 1 << BITS, 2])
     toxic, n = int(toxic), int(n)
     if toxic in (0, n):
         share = 0.5 if not n else (0.999 if toxic else 0.001)
