@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, join_on_document, keyed, same_document, stage
+from .common import free_name, full_text, join_on_document, keyed, same_document, stage
 
 #: Lines of the shortest run that is removed whatever it holds.
 WINDOW = 3
@@ -172,10 +172,13 @@ def with_lines_cut(
     length_col: str | None = "n_chars",
     window: int = WINDOW,
     min_words: int | None = MIN_WORDS,
+    drop_emptied: bool = False,
 ) -> DataFrame:
     """``docs`` with the same rows and columns and the texts that ``dedup_lines`` gives.
 
-    ``length_col``, if there, counts the characters of a text that has changed.
+    ``length_col``, if there, counts the characters of a text that has changed. With
+    ``drop_emptied`` rows go whose text had something and is left with nothing: all of it
+    stands elsewhere. Rows that were empty before stay.
     """
     text = F.col(f"`{text_col}`")
     at, new = free_name("_starts", docs), free_name("_text", docs)
@@ -186,6 +189,9 @@ def with_lines_cut(
         _without(_lines(text), _covered(starts))
     )
     joined = joined.withColumn(new, cut)
+    if drop_emptied:
+        emptied = starts.isNotNull() & (F.col(new) == "") & (full_text(text_col) != "")
+        joined = joined.where(~emptied)
 
     def column(name: str) -> Column:
         if name == text_col:
