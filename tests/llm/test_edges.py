@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import pytest
@@ -347,7 +350,18 @@ def test_toxicity_takes_back_uneven_sampling(spark):
     assert toxicity._oversampling(labels.limit(0), 10) == 0
 
 
-@pytest.mark.parametrize("size", ["sf0.1", "check_s"])
+@pytest.mark.parametrize(
+    "size",
+    [
+        "sf0.1",
+        pytest.param(
+            "check_s",
+            marks=pytest.mark.skipif(
+                not os.path.exists("/root/testdata/check_s"), reason="tables of the check tool"
+            ),
+        ),
+    ],
+)
 def test_toxicity_catches_held_out_insults_at_every_size(spark, size):
     docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
     labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
@@ -438,3 +452,37 @@ def test_chat_templates_that_depend_on_all_turns(spark):
         for r in got:
             whole = whole[: r["start"]] + r["piece"]
             assert whole == template(given[: r["position"] + 1])
+
+
+_BARE = """
+import importlib.util, sys
+sys.path.insert(0, {repo!r})
+from utterfold.llm import bpe, toxicity
+from utterfold.llm.queries import tokenizer_description
+from utterfold.session import build_session
+
+spark = build_session("local[2]", "bare", **{{"spark.ui.enabled": "false"}})
+
+def importable(batches):
+    for batch in batches:
+        found = importlib.util.find_spec("utterfold") is not None
+        yield batch.assign(found=found)[["found"]]
+
+docs = spark.createDataFrame([(1, "It's 12 o'clock"), (2, None)], "doc_id long, text string")
+assert not docs.mapInPandas(importable, "found boolean").where("found").count()
+rows = bpe.encode_and_decode(docs, tokenizer_description()).collect()
+assert sorted(r["decoded"] for r in rows) == ["", "It's 12 o'clock"], rows
+print("bare workers encode")
+"""
+
+
+def test_bpe_in_workers_that_lack_the_package(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "bare.py"
+    script.write_text(_BARE.format(repo=repo))
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=clean, capture_output=True, text=True,
+        timeout=300,
+    )
+    assert "bare workers encode" in done.stdout, done.stderr[-2000:]
