@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import require_column
+from .records import read_lines, records, stream_records
 
 # Field contents read as missing in delimited corpora.
 NA_TOKENS = (
@@ -75,6 +76,44 @@ def whole_records(df: DataFrame, columns: Sequence[str], separator: str) -> Data
     return df.filter(fits).select(*[F.col(f"`{c}`") for c in columns])
 
 
+def parsed_records(found: DataFrame, columns: Sequence[str], separator: str) -> DataFrame:
+    """``columns`` of the records in ``record``, checked by :func:`whole_records`."""
+    names = ", ".join("`" + name.replace("`", "``") + "` string" for name in [*columns, _RAW])
+    options = {**csv_options(separator), "columnNameOfCorruptRecord": _RAW}
+    # a line break of its own, so that the parser leaves those inside quotes alone
+    parsed = found.select(F.from_csv("record", names, options).alias("fields"))
+    return whole_records(parsed.select("fields.*"), columns, separator)
+
+
+def _delimited(
+    spark: SparkSession, path: str, columns: Sequence[str] | None, separator: str, multi_line: bool
+) -> DataFrame:
+    """Checked records of delimited files; without ``columns`` a header names them."""
+    reader = spark.read.options(**csv_options(separator))
+    header = columns is None
+    if header:
+        # header only: with a schema of strings nothing is inferred from the rows
+        named = reader.option("header", True).option("multiLine", True).csv(path)
+        columns = named.columns
+    if multi_line:
+        return parsed_records(records(spark, path, separator, header), columns, separator)
+    reader = spark.read.options(**csv_options(separator)).option("header", header)
+    reader = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW)
+    return whole_records(reader.csv(path), columns, separator)
+
+
+def streamed_delimited(
+    reader, path: str, columns: Sequence[str], separator: str, header: bool, multi_line: bool
+) -> DataFrame:
+    """As for tables, from a ``spark.readStream`` with its options."""
+    if multi_line:
+        found = stream_records(read_lines(reader, path), separator, header)
+        return parsed_records(found, columns, separator)
+    reader = reader.options(**csv_options(separator)).option("header", header)
+    reader = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW)
+    return whole_records(reader.csv(path), columns, separator)
+
+
 def read_corpus(
     spark: SparkSession,
     path: str,
@@ -87,24 +126,19 @@ def read_corpus(
 
     With ``columns`` a delimited file has no header; without them the header
     names the columns. Short rows end in nulls; a row with more fields than
-    columns fails the query instead of losing a field. Line breaks inside quotes
-    belong to the field, at the price that a file is read by one task. With
-    ``multi_line=False`` large files are split among tasks, and a record whose
-    quote does not close on its line fails the query.
+    columns fails the query instead of losing a field, and so does a quote that never
+    closes. Line breaks inside quotes belong to the field. Large files are split among
+    tasks and scanned three times for it, see :mod:`.records`; with
+    ``multi_line=False`` they are scanned once, and a record whose quote does not close
+    on its line fails the query.
     """
     kind = check_file_type(file_type or infer_file_type(path))
     if kind == "json":
         if columns:
             return spark.read.schema(all_strings(columns)).json(path)
         return spark.read.option("primitivesAsString", True).json(path)
-    separator = SEPARATORS[kind]
-    reader = spark.read.options(**csv_options(separator)).option("multiLine", multi_line)
-    if columns is None:
-        # header only: with a schema of strings nothing is inferred from the rows
-        columns = reader.option("header", True).csv(path).columns
-        reader = reader.option("header", True)
-    df = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW).csv(path)
-    return mark_missing(whole_records(df, columns, separator), na_tokens)
+    df = _delimited(spark, path, columns, SEPARATORS[kind], multi_line)
+    return mark_missing(df, na_tokens)
 
 
 def mark_missing(df: DataFrame, na_tokens: Sequence[str] | None) -> DataFrame:
@@ -128,9 +162,6 @@ def read_scoring_input(
     quotes and records that do not fit are treated as in :func:`read_corpus`.
     """
     separator = "\t" if path.rstrip("/").lower().endswith(".tsv") else ","
-    reader = spark.read.options(**csv_options(separator)).option("header", True)
-    reader = reader.option("multiLine", multi_line)
-    columns = reader.csv(path).columns
-    require_column(columns, text_col, "text")
-    df = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW).csv(path)
-    return whole_records(df, columns, separator).na.fill("")
+    df = _delimited(spark, path, None, separator, multi_line)
+    require_column(df.columns, text_col, "text")
+    return df.na.fill("")

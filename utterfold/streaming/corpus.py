@@ -11,10 +11,8 @@ from ..sources.files import (
     SEPARATORS,
     all_strings,
     check_file_type,
-    checked_schema,
-    csv_options,
     mark_missing,
-    whole_records,
+    streamed_delimited,
 )
 
 
@@ -31,7 +29,8 @@ def stream_corpus(
     """New files of a folder as rows, labels left combined.
 
     Unpacking, cleanup and encoding are row-wise and apply to the stream as
-    they do to a table. Records are checked as :func:`read_corpus` checks them.
+    they do to a table. Records are checked as :func:`read_corpus` checks them. With
+    ``multi_line`` a file must not be larger than ``spark.sql.files.maxPartitionBytes``.
     """
     kind = check_file_type(file_type)
     reader = spark.readStream
@@ -39,9 +38,5 @@ def stream_corpus(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if kind == "json":
         return reader.schema(all_strings(columns)).json(path)
-    separator = SEPARATORS[kind]
-    schema = checked_schema(columns)
-    reader = reader.options(**csv_options(separator)).option("multiLine", multi_line)
-    reader = reader.option("columnNameOfCorruptRecord", schema.names[-1])
-    df = reader.schema(schema).option("header", header).csv(path)
-    return mark_missing(whole_records(df, columns, separator), na_tokens)
+    df = streamed_delimited(reader, path, columns, SEPARATORS[kind], header, multi_line)
+    return mark_missing(df, na_tokens)
