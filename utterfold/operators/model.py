@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, MULTILABEL
 from ..functions import text as T
 from ..session import cut_lineage
+from .joint_fit import fit_joint
 from .scoring import Scorer, score_with
 
 # Every label has its own coefficients on the driver, so a model has few labels
 # next to what a label map may hold.
 MAX_MODEL_LABELS = 10_000
+#: Penalty of a fit: half of it times the squared coefficients of features of unit deviation.
+REG_PARAM = 1e-3
 
 
 def model_tokens(text: Column, max_tokens: int = 128) -> Column:
@@ -82,16 +86,41 @@ def featurize(
     return fitted.transform(tokens).drop(text_col, "tokens", "tf"), fitted
 
 
+@dataclass(frozen=True)
+class JointHead:
+    """A label's row of the regression that gives all margins."""
+
+    regression: LogisticRegressionModel
+    row: int
+
+    @property
+    def coefficients(self) -> np.ndarray:
+        return self.regression.coefficientMatrix.toArray()[self.row]
+
+    @property
+    def intercept(self) -> float:
+        return float(self.regression.interceptVector[self.row])
+
+
 @dataclass
 class IntentModel:
-    """A fitted feature pipeline, its classifier heads and the labels they stand for."""
+    """A fitted feature pipeline, its classifier and the labels it stands for.
+
+    ``regression`` gives a margin per label. ``heads`` is that regression for a multiclass
+    model; a multilabel one has a head per label, a number where the logit is fixed.
+    """
 
     task: str
     labels: Sequence[str]
     features: PipelineModel
-    heads: Sequence[LogisticRegressionModel | float]
+    heads: Sequence[LogisticRegressionModel | JointHead | float]
     max_tokens: int = 128
     text_col: str = field(default="text")
+    regression: LogisticRegressionModel | None = None
+
+    def __post_init__(self) -> None:
+        if self.regression is None:
+            self.regression = self.heads[0]
 
     def transform(
         self, df: DataFrame, text_col: str | None = None, out: str = "logits"
@@ -99,23 +128,11 @@ class IntentModel:
         """Add one logit per label; batch or streaming, no Python worker involved."""
         column = text_col or self.text_col
         scored = self.features.transform(with_tokens(df, column, self.max_tokens))
-        if self.task == MULTICLASS:
-            scored = self.heads[0].transform(scored)
-            logits = vector_to_array(F.col("_raw"))
-            helpers = ["_raw"]
-        else:
-            parts, helpers = [], []
-            for i, head in enumerate(self.heads):
-                if isinstance(head, float):
-                    parts.append(F.lit(head))
-                    continue
-                raw = f"_raw_{i}"
-                # a copy: the stored head stays as it is for other transforms
-                scored = head.copy().setRawPredictionCol(raw).transform(scored)
-                parts.append(F.get(vector_to_array(F.col(raw)), F.lit(1)))
-                helpers.append(raw)
-            logits = F.array(*parts)
-        return scored.withColumn(out, logits).drop("tokens", "tf", "features", *helpers)
+        # one product gives all margins; a lone label has an empty row beside it
+        margins = vector_to_array(F.col("_raw"))
+        logits = F.slice(margins, 1, len(self.labels))
+        scored = self.regression.transform(scored)
+        return scored.withColumn(out, logits).drop("tokens", "tf", "features", "_raw")
 
 
 def _label_list(label_map: DataFrame) -> list[str]:
@@ -162,7 +179,7 @@ def fit_multiclass(
     label_map: DataFrame,
     text_col: str = "text",
     max_iter: int = 300,
-    reg_param: float = 1e-3,
+    reg_param: float = REG_PARAM,
     max_tokens: int = 128,
     **options,
 ) -> IntentModel:
@@ -182,82 +199,97 @@ def fit_multilabel(
     label_map: DataFrame,
     text_col: str = "text",
     max_iter: int = 300,
-    reg_param: float = 1e-3,
+    reg_param: float = REG_PARAM,
     max_tokens: int = 128,
     **options,
 ) -> IntentModel:
-    """One binary logistic regression per label over shared features.
+    """One binary logistic regression per label over shared features, all fitted together.
 
-    A label that is always or never present gets a fixed logit from its
-    smoothed odds instead of a fit.
+    The number of passes over the data does not depend on the number of labels; at most
+    ``max_iter`` are made. A label that is always or never present gets a fixed logit from
+    its smoothed odds instead of a fit.
     """
     labels = _label_list(label_map)
     features, pipeline = _training_features(df, text_col, max_tokens, options)
-    features = features.select("features", "labels").persist()
-    try:
-        positives = {
-            row["label_id"]: row["pos"]
-            for row in features.select(F.posexplode("labels").alias("label_id", "y"))
-            .groupBy("label_id")
-            .agg(F.count_if(F.col("y") > 0).alias("pos"))
-            .collect()
-        }
-        n_rows = features.count()
-        heads: list[LogisticRegressionModel | float] = []
-        for i in range(len(labels)):
-            pos = positives.get(i, 0)
-            if pos in (0, n_rows):
-                heads.append(math.log((pos + 1) / (n_rows - pos + 1)))
-                continue
-            train = features.select(
-                "features", F.get("labels", F.lit(i)).cast("double").alias("label")
-            )
-            heads.append(_regression(max_iter, reg_param).setFamily("binomial").fit(train))
-    finally:
-        features.unpersist()
-    return IntentModel(MULTILABEL, labels, pipeline, heads, max_tokens, text_col)
+    coefficients, intercepts, fitted = fit_joint(
+        features, len(labels), _n_features(pipeline), reg_param, max_iter
+    )
+    regression = _regression_of(df.sparkSession, coefficients, intercepts)
+    heads = [
+        JointHead(regression, i) if fitted[i] else float(intercepts[i]) for i in range(len(labels))
+    ]
+    return IntentModel(MULTILABEL, labels, pipeline, heads, max_tokens, text_col, regression)
+
+
+def _n_features(pipeline: PipelineModel) -> int:
+    counts = pipeline.stages[0]
+    return counts.getNumFeatures() if isinstance(counts, HashingTF) else len(counts.vocabulary)
+
+
+def _regression_of(
+    spark: SparkSession, coefficients: np.ndarray, intercepts: np.ndarray
+) -> LogisticRegressionModel:
+    """A regression that gives these margins as its raw scores.
+
+    MLlib has no constructor for given coefficients, but a fit of no iterations ends where
+    it begins, and it begins within the bounds it is given.
+    """
+    k, d = coefficients.shape
+    rows = max(k, 2)
+    padded, offsets = np.zeros((rows, d)), np.zeros(rows)
+    padded[:k], offsets[:k] = coefficients, intercepts
+    matrix = DenseMatrix(rows, d, padded.ravel(order="F"))
+    nominal = {"ml_attr": {"type": "nominal", "vals": [str(i) for i in range(rows)]}}
+    # every feature must vary, or its coefficient becomes zero
+    two = spark.createDataFrame(
+        [(Vectors.sparse(d, {}), 0.0), (Vectors.dense(np.ones(d)), 1.0)],
+        ["features", "label"],
+    ).withColumn("label", F.col("label").alias("label", metadata=nominal))
+    start = _regression(0, 0.0).setFamily("multinomial").setStandardization(False)
+    start.setLowerBoundsOnCoefficients(matrix).setUpperBoundsOnCoefficients(matrix)
+    start.setLowerBoundsOnIntercepts(Vectors.dense(offsets))
+    start.setUpperBoundsOnIntercepts(Vectors.dense(offsets))
+    return start.fit(two)
+
+
+_META = (
+    "task string, max_tokens int, text_col string, "
+    "fixed array<struct<head:int,logit:double>>"
+)
 
 
 def save_model(model: IntentModel, spark: SparkSession, path: str) -> None:
-    """Pipeline, heads, labels and task below one folder."""
+    """Pipeline, regression, labels and task below one folder."""
     root = path.rstrip("/")
     model.features.write().overwrite().save(f"{root}/features")
-    fixed = []
-    for i, head in enumerate(model.heads):
-        if isinstance(head, float):
-            fixed.append((i, head))
-        else:
-            head.write().overwrite().save(f"{root}/heads/{i}")
+    model.regression.write().overwrite().save(f"{root}/regression")
+    fixed = [(i, head) for i, head in enumerate(model.heads) if isinstance(head, float)]
     rows = [(i, label) for i, label in enumerate(model.labels)]
     spark.createDataFrame(rows, "label_id int, label string").coalesce(1).write.mode(
         "overwrite"
     ).json(f"{root}/label_map")
     spark.createDataFrame(
-        [(model.task, len(model.heads), model.max_tokens, model.text_col, fixed)],
-        "task string, n_heads int, max_tokens int, text_col string, "
-        "fixed array<struct<head:int,logit:double>>",
+        [(model.task, model.max_tokens, model.text_col, fixed)], _META
     ).write.mode("overwrite").json(f"{root}/meta")
 
 
 def load_model(spark: SparkSession, path: str) -> IntentModel:
     root = path.rstrip("/")
-    meta = spark.read.schema(
-        "task string, n_heads int, max_tokens int, text_col string, "
-        "fixed array<struct<head:int,logit:double>>"
-    ).json(f"{root}/meta").first()
-    label_map = spark.read.schema("label_id int, label string").json(f"{root}/label_map")
+    meta = spark.read.schema(_META).json(f"{root}/meta").first()
+    labels = _label_list(spark.read.schema("label_id int, label string").json(f"{root}/label_map"))
+    regression = LogisticRegressionModel.load(f"{root}/regression")
     fixed = {row["head"]: row["logit"] for row in meta["fixed"] or []}
-    heads = [
-        fixed[i] if i in fixed else LogisticRegressionModel.load(f"{root}/heads/{i}")
-        for i in range(meta["n_heads"])
-    ]
+    heads: list = [regression]
+    if meta["task"] == MULTILABEL:
+        heads = [fixed.get(i, JointHead(regression, i)) for i in range(len(labels))]
     return IntentModel(
         meta["task"],
-        _label_list(label_map),
+        labels,
         PipelineModel.load(f"{root}/features"),
         heads,
         meta["max_tokens"],
         meta["text_col"],
+        regression,
     )
 
 
