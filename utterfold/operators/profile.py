@@ -6,8 +6,8 @@ the corpus and far smaller than it:
 * ``length_counts``: how many texts of a class have a given length;
 * ``term_counts`` / ``ngram_counts``: how often a term occurs and where first.
 
-The analyses below take these tables, so a full profile reads the corpus three
-or four times whatever the number of analyses, and never caches it.
+The analyses below take these tables. :mod:`.one_scan` makes both, and what the n-grams
+need, in a single pass, so a full profile reads and tokenises the corpus twice.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.vectors import bind
@@ -28,7 +29,12 @@ IMBALANCE_LIMIT = 10.0
 
 def profile_shape(df: DataFrame) -> DataFrame:
     """``column, type, position, n_rows, n_columns``, one row per column."""
-    schema = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    return shape_of(df.schema, df.agg(F.count("*").alias("n_rows")))
+
+
+def shape_of(types: StructType, counted: DataFrame) -> DataFrame:
+    """:func:`profile_shape` from a schema and a frame of one row, ``n_rows``."""
+    schema = [(f.name, f.dataType.simpleString()) for f in types.fields]
     described = F.array(
         *[
             F.struct(
@@ -39,11 +45,9 @@ def profile_shape(df: DataFrame) -> DataFrame:
             for position, (name, kind) in enumerate(schema)
         ]
     )
-    return (
-        df.agg(F.count("*").alias("n_rows"))
-        .select("n_rows", F.lit(len(schema)).alias("n_columns"), F.inline(described))
-        .select("column", "type", "position", "n_rows", "n_columns")
-    )
+    return counted.select(
+        "n_rows", F.lit(len(schema)).alias("n_columns"), F.inline(described)
+    ).select("column", "type", "position", "n_rows", "n_columns")
 
 
 def profile_missing(df: DataFrame) -> DataFrame:

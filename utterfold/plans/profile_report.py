@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOPWORDS, clean_punct
 from ..operators import profile as P
 from ..operators.cleanup import apply_cleanup
-from ..session import cut_lineage
+from ..operators.lookup import free_name
+from ..operators.ngrams import leading_ngrams, token_bags
+from ..operators.one_scan import scan_once
+
+_SIZES = (2, 3)
 
 
 def run_profile(
@@ -27,23 +32,28 @@ def run_profile(
 
     ``clean`` removes punctuation from the text and drops incomplete rows first.
 
-    The corpus is read once for lengths, once for terms and once per n-gram
-    size. What those passes leave is written to the shared folder, and all
-    analyses start from there.
+    The corpus is read and tokenised twice: once for all counts, which go to the shared
+    folder, and once for the n-grams that can be among the most frequent ones. Only the
+    first rows are read a third time, as they are.
     """
     if clean:
         df = apply_cleanup(df, clean_punct, [text_col])
-    lengths = cut_lineage(P.length_counts(df, text_col, label_col))
-    terms = cut_lineage(P.term_counts(df, row_id, text_col, words))
+    words = list(words)
+    counts = scan_once(df, row_id, text_col, label_col, words, _SIZES)
+    lengths, terms = counts.lengths, counts.terms
     kept = P.without_stopwords(terms)
     classes = (
         lengths.filter((F.col("measure") == "char") & F.col("label").isNotNull())
         .groupBy("label")
         .agg(F.sum("n").alias("n"))
     )
+    grams = leading_ngrams(
+        token_bags(df, row_id, text_col, True, words), _SIZES, top_n, counts.gram_totals
+    )
+    # The names of the analyses.
     report = {
-        "shape": P.profile_shape(df),
-        "missing_values": P.profile_missing(df),
+        "shape": counts.shape,
+        "missing_values": counts.missing,
         "head": P.head(df, row_id),
         "target_distribution": classes.orderBy(F.desc("n"), "label"),
         "num_classes": classes.agg(F.count("*").alias("num_classes")),
@@ -54,9 +64,8 @@ def run_profile(
         "most_common_words": P.top_terms(kept, top_n),
         "least_common_words": P.rare_terms(kept, top_n),
     }
-    for n in (2, 3):
-        grams = P.ngram_counts(df, row_id, n, text_col, True, words)
-        report[f"most_common_{n}grams"] = P.top_ngrams(grams, top_n)
+    for n in _SIZES:
+        report[f"most_common_{n}grams"] = grams.filter(F.col("size") == n).drop("size")
     if deep:
         report["avg_word_length_by_class"] = P.mean_length_by_class(lengths)
         report["length_box_by_class"] = P.length_box_by_class(lengths)
@@ -64,3 +73,57 @@ def run_profile(
         report["zipf_stopwords_removed"] = P.zipf(kept)
         report["frequency_range"] = P.frequency_range(terms)
     return report
+
+
+#: What identifies a row of an analysis; all other columns of numbers are its figures.
+_KEYS = {
+    "shape": ["column", "type"],
+    "missing_values": ["column"],
+    "target_distribution": ["label"],
+    "length_stats": ["measure"],
+    "length_histogram": ["measure", "bin"],
+    "most_common_words": ["term"],
+    "least_common_words": ["term"],
+    "most_common_2grams": ["term"],
+    "most_common_3grams": ["term"],
+    "avg_word_length_by_class": ["label"],
+    "length_box_by_class": ["label", "measure"],
+    "zipf_stopwords_included": ["rank"],
+    "zipf_stopwords_removed": ["rank"],
+}
+
+
+def report_rows(report: dict[str, DataFrame]) -> DataFrame:
+    """``analysis, key, figure, value``: all analyses in one long table.
+
+    The parts of a key are joined by ``|``. Of the first rows every field is a row, its
+    text in ``key`` after the position and the name.
+    """
+    parts = []
+    for name, table in report.items():
+        if name == "head":
+            place = free_name("position", table)
+            numbered = table.withColumn(
+                place, F.row_number().over(Window.orderBy(table.columns[0])) - 1
+            )
+            fields = [
+                F.concat_ws("|", place, F.lit(c), F.col(f"`{c}`").cast("string"))
+                for c in table.columns
+            ]
+            value = F.col(place).cast("double")
+            figures = F.array(F.struct(F.lit("position").alias("figure"), value.alias("value")))
+            rows = numbered.select(
+                F.explode(F.array(*fields)).alias("key"), figures.alias("figures")
+            )
+        else:
+            keys = _KEYS.get(name, [])
+            kept = [c for c in table.columns if c not in keys]
+            figures = F.array(
+                *[
+                    F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value"))
+                    for c in kept
+                ]
+            )
+            rows = table.select(F.concat_ws("|", *keys).alias("key"), figures.alias("figures"))
+        parts.append(rows.select(F.lit(name).alias("analysis"), "key", F.inline("figures")))
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import profile as P
-from ..plans.profile_report import run_profile
+from ..operators.ngrams import leading_ngrams, token_bags
+from ..plans.profile_report import report_rows, run_profile
 from ..session import cut_lineage
-from .base import CORPUS, LENGTHS, WORDS, big, cleaned_texts, corpus, documents, query, r6
+from .base import CLEANED, CORPUS, LENGTHS, ORACLES, WORDS, big, cleaned_texts, corpus, documents, query, r6
 from .base import table, with_label
 
 
@@ -200,8 +201,8 @@ def _gram_sql(n: int, source: str = "kept") -> str:
 
 
 def _grams(spark, folder, n, remove_stopwords=True):
-    grams = P.ngram_counts(cleaned_texts(spark, folder), "doc_id", n, remove_stopwords=remove_stopwords)
-    return P.top_ngrams(grams).select(*big("rank"), "term", "n")
+    bags = token_bags(cleaned_texts(spark, folder), "doc_id", remove_stopwords=remove_stopwords)
+    return leading_ngrams(bags, [n]).select(*big("rank"), "term", "n")
 
 
 @query("top_bigrams", _gram_sql(2))
@@ -329,30 +330,61 @@ def frequency_ranks(spark, folder):
     return P.frequency_ranks(_terms(spark, folder))
 
 
-@query(
-    "profile_report",
-    f"""WITH {WORDS} SELECT 'vocabulary_size' AS item, count(DISTINCT term)::DOUBLE AS value FROM kept
-    UNION ALL SELECT 'zipf_stopwords_included', count(DISTINCT term) FROM bag
-    UNION ALL SELECT 'num_classes', count(DISTINCT label) FROM corpus
-    UNION ALL SELECT 'imbalance', round(max(n) / min(n), 6)
-              FROM (SELECT count(*) AS n FROM corpus GROUP BY label)
-    UNION ALL SELECT 'mean_words', round(avg(len(toks)), 6) FROM tok""",
-)
+def _long_sql(analysis: str, oracle: str, keys: list[str], figures: list[str]) -> str:
+    key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    items = ", ".join(
+        f"{{'figure': '{f}', 'value': CAST({f} AS DOUBLE)}}".replace(f"CAST({f}", f'CAST("{f}"')
+        for f in figures
+    )
+    return f"""SELECT '{analysis}' AS analysis, key, item.figure AS figure,
+        round(item.value, 6) + 0.0 AS value
+    FROM (SELECT {key} AS key, unnest([{items}]) AS item FROM ({oracle}))"""
+
+
+_BOX = ["count", "min", "q25", "q50", "q75", "max", "whisker_low", "whisker_high", "n_outliers"]
+_REPORT_SQL = " UNION ALL ".join(
+    [
+        """SELECT 'shape' AS analysis, c.k AS key, f.figure AS figure, f.value AS value
+        FROM (SELECT count(*)::DOUBLE AS n FROM documents),
+             (SELECT unnest([{'k': 'doc_id|bigint', 'p': 0}, {'k': 'text|string', 'p': 1},
+                             {'k': 'label|string', 'p': 2}]) AS c),
+             LATERAL (SELECT unnest([{'figure': 'position', 'value': c.p::DOUBLE},
+                                     {'figure': 'n_rows', 'value': n},
+                                     {'figure': 'n_columns', 'value': 3.0::DOUBLE}]) AS f)""",
+        """SELECT 'missing_values', unnest(['doc_id', 'text', 'label']), 'n_missing', 0.0""",
+        f"""SELECT 'head', unnest([concat_ws('|', p, 'doc_id', doc_id), concat_ws('|', p, 'text', text),
+                                   concat_ws('|', p, 'label', label)]), 'position', p
+        FROM (WITH {CLEANED} SELECT doc_id, text, label, row_number() OVER (ORDER BY doc_id) - 1 AS p
+              FROM cleaned ORDER BY doc_id LIMIT 5)""",
+    ]
+    + [
+        _long_sql(analysis, ORACLES[oracle], keys, figures)
+        for analysis, oracle, keys, figures in [
+            ("target_distribution", "label_distribution", ["label"], ["n"]),
+            ("num_classes", "num_classes", [], ["num_classes"]),
+            ("imbalance", "imbalance", [], ["max_n", "min_n", "imbalance_ratio", "imbalanced"]),
+            ("length_stats", "describe_length", ["measure"],
+             ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]),
+            ("length_histogram", "length_histogram", ["measure", "bin"],
+             ["bin_start", "bin_end", "n"]),
+            ("vocabulary_size", "vocab_size", [], ["vocab_size"]),
+            ("most_common_words", "top_terms", ["term"], ["rank", "n"]),
+            ("least_common_words", "rare_terms", ["term"], ["rank", "n"]),
+            ("most_common_2grams", "top_bigrams", ["term"], ["rank", "n"]),
+            ("most_common_3grams", "top_trigrams", ["term"], ["rank", "n"]),
+            ("avg_word_length_by_class", "mean_length_by_class", ["label"], ["mean_words"]),
+            ("length_box_by_class", "length_box_by_class", ["label", "measure"], _BOX),
+            ("zipf_stopwords_included", "zipf", ["rank"], ["frequency", "ideal"]),
+            ("zipf_stopwords_removed", "zipf_without_stopwords", ["rank"], ["frequency", "ideal"]),
+            ("frequency_range", "frequency_range", [],
+             ["n_terms", "max_frequency", "min_frequency"]),
+        ]
+    ]
+)
+
+
+@query("profile_report", _REPORT_SQL)
 def profile_report(spark, folder):
-    """One figure from each of several analyses of the full profile."""
+    """Every row of every analysis of the full profile."""
     report = run_profile(corpus(spark, folder, documents(spark, folder)), "doc_id")
-    figures = [
-        ("vocabulary_size", report["vocabulary_size"].select("vocab_size")),
-        (
-            "zipf_stopwords_included",
-            report["zipf_stopwords_included"].agg(F.count("*").alias("value")),
-        ),
-        ("num_classes", report["num_classes"].select("num_classes")),
-        ("imbalance", report["imbalance"].select("imbalance_ratio")),
-        ("mean_words", report["length_stats"].filter("measure = 'word'").select("mean")),
-    ]
-    merged = None
-    for item, frame in figures:
-        row = frame.select(F.lit(item).alias("item"), r6(frame.columns[0]).alias("value"))
-        merged = row if merged is None else merged.unionByName(row)
-    return merged
+    return report_rows(report).withColumn("value", r6("value"))
