@@ -1,21 +1,44 @@
-"""Comparison of two splits: classes, vocabulary, lengths, metrics."""
+"""Comparison of two splits: classes, vocabulary, lengths, metrics.
+
+The functions whose names end in ``_of`` take one frame with a column ``side`` and read it
+once: each aggregation counts both sides. The others put two frames together for them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..session import cut_lineage
 from . import profile as P
 
 
+SIDE = "side"
+
+
+def tagged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two frames with the same columns as one, ``side`` telling them apart."""
+    return a.withColumn(SIDE, F.lit("a")).unionByName(b.withColumn(SIDE, F.lit("b")))
+
+
+def _both(of: Callable[[Column], Column]) -> list[Column]:
+    """An aggregate for the rows of either side, in one aggregation."""
+    return [of(F.col(SIDE) == side).alias(f"n_{side}") for side in ("a", "b")]
+
+
+def _summed(key: str, counts: DataFrame) -> DataFrame:
+    """``key, n_a, n_b`` of counts ``key, n, side``."""
+    total = _both(lambda here: F.sum(F.when(here, F.col("n")).otherwise(F.lit(0))))
+    return counts.groupBy(key).agg(*total)
+
+
 def _side_by_side(a: DataFrame, b: DataFrame, key: str, count: str) -> DataFrame:
     """``key, n_a, n_b`` of two count tables: one shuffle instead of a full outer join."""
-    tagged = a.select(
-        F.col(key), F.col(count).alias("n_a"), F.lit(0).cast("long").alias("n_b")
-    ).unionByName(
-        b.select(F.col(key), F.lit(0).cast("long").alias("n_a"), F.col(count).alias("n_b"))
-    )
-    return tagged.groupBy(key).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    named = [side.select(F.col(key), F.col(count).alias("n")) for side in (a, b)]
+    return _summed(key, tagged(*named))
 
 
 def _status() -> Column:
@@ -27,30 +50,57 @@ def _status() -> Column:
 
 
 def label_drift(a: DataFrame, b: DataFrame, label_col: str = "label") -> DataFrame:
-    """Counts and shares of every class in both splits.
+    """:func:`label_drift_of` for two frames."""
+    return label_drift_of(tagged(*[df.select(label_col) for df in (a, b)]), label_col)
+
+
+def label_counts(rows: DataFrame, label_col: str = "label") -> DataFrame:
+    """``label, n_a, n_b``; null labels are not a class."""
+    known = rows.filter(F.col(label_col).isNotNull())
+    return known.groupBy(F.col(label_col).alias("label")).agg(*_both(F.count_if))
+
+
+def label_drift_of(rows: DataFrame, label_col: str = "label") -> DataFrame:
+    """Counts and shares of every class in both sides of one frame with a ``side``, a or b.
 
-    ``status`` says whether ``b`` misses the class, brings it in, or shares it.
+    ``status`` says whether side b misses the class, brings it in, or shares it. The frame
+    is read once, at once; what is left is a row per class.
     """
-    sides = _side_by_side(
-        P.label_distribution(a, label_col), P.label_distribution(b, label_col), "label", "n"
+    counts = cut_lineage(label_counts(rows, label_col))
+    totals = counts.agg(F.sum("n_a").alias("all_a"), F.sum("n_b").alias("all_b"))
+    share_a, share_b = (
+        F.try_divide(F.col(f"n_{side}"), F.col(f"all_{side}")).cast("double") for side in "ab"
     )
-    everything = Window.partitionBy()
-    share_a = F.try_divide(F.col("n_a"), F.sum("n_a").over(everything))
-    share_b = F.try_divide(F.col("n_b"), F.sum("n_b").over(everything))
-    return sides.select(
+    # one row of totals
+    return counts.join(F.broadcast(totals)).select(
         "label",
         "n_a",
         "n_b",
-        share_a.cast("double").alias("share_a"),
-        share_b.cast("double").alias("share_b"),
-        (share_b - share_a).cast("double").alias("share_delta"),
+        share_a.alias("share_a"),
+        share_b.alias("share_b"),
+        (share_b - share_a).alias("share_delta"),
         _status().alias("status"),
     )
 
 
+def term_sides(
+    rows: DataFrame,
+    text_col: str = "text",
+    words: Iterable[str] = T.ENGLISH_STOPWORDS,
+) -> DataFrame:
+    """``term, n_a, n_b`` of cleaned texts with a ``side``, stopwords left out; one scan."""
+    exploded = rows.select(SIDE, F.explode(T.raw_tokens(F.col(text_col))).alias("term"))
+    kept = T.is_alnum(F.col("term")) & ~T.is_stopword(F.col("term"), words)
+    return exploded.filter(kept).groupBy("term").agg(*_both(F.count_if))
+
+
 def vocab_drift(terms_a: DataFrame, terms_b: DataFrame) -> DataFrame:
-    """Vocabulary sizes and shared, missing and new terms of two term tables."""
-    sides = _side_by_side(terms_a, terms_b, "term", "n")
+    """:func:`vocab_drift_of` for two term tables."""
+    return vocab_drift_of(_side_by_side(terms_a, terms_b, "term", "n"))
+
+
+def vocab_drift_of(sides: DataFrame) -> DataFrame:
+    """Vocabulary sizes and shared, missing and new terms of ``term, n_a, n_b``."""
     in_a, in_b = F.col("n_a") > 0, F.col("n_b") > 0
     return sides.agg(
         F.count_if(in_a).alias("vocab_a"),
@@ -62,24 +112,28 @@ def vocab_drift(terms_a: DataFrame, terms_b: DataFrame) -> DataFrame:
 
 
 def term_rank_change(terms_a: DataFrame, terms_b: DataFrame, n: int = 25) -> DataFrame:
-    """Rank in both splits of every term among the top ``n`` of either.
+    """:func:`term_rank_change_of` for two term tables."""
+    return term_rank_change_of(_side_by_side(terms_a, terms_b, "term", "n"), n)
+
 
-    The rank is one more than the number of terms with a larger count; a term a
-    split lacks has no rank there. The tables are read twice; store them first.
+def term_rank_change_of(sides: DataFrame, n: int = 25) -> DataFrame:
+    """Rank in both sides of every term among the top ``n`` of either.
+
+    Takes ``term, n_a, n_b``, which is stored first, as it is read for the leading terms
+    and for the ranks. The rank is one more than the number of terms with a larger count; a
+    term that a side lacks has no rank there.
     """
-    sides = _side_by_side(terms_a, terms_b, "term", "n")
+    sides = cut_lineage(sides)
     top_a = sides.filter("n_a > 0").orderBy(F.desc("n_a"), "term").limit(n)
     top_b = sides.filter("n_b > 0").orderBy(F.desc("n_b"), "term").limit(n)
     # at most 2 n rows from here on
     chosen = top_a.union(top_b).distinct()
-    ranks = [
-        P.frequency_ranks(table).select(
+    for side in ("a", "b"):
+        ranks = P.frequency_ranks(sides.filter(f"n_{side} > 0"), f"n_{side}").select(
             F.col("frequency").alias(f"n_{side}"), F.col("rank_from").alias(f"rank_{side}")
         )
-        for side, table in (("a", terms_a), ("b", terms_b))
-    ]
-    joined = chosen.join(ranks[0], "n_a", "left").join(ranks[1], "n_b", "left")
-    return joined.select(
+        chosen = chosen.join(ranks, f"n_{side}", "left")
+    return chosen.select(
         "term",
         "n_a",
         "n_b",
@@ -90,35 +144,48 @@ def term_rank_change(terms_a: DataFrame, terms_b: DataFrame, n: int = 25) -> Dat
 
 
 def length_drift(lengths_a: DataFrame, lengths_b: DataFrame) -> DataFrame:
-    """``measure, statistic, value_a, value_b, delta`` of two length tables."""
-    return _compare(
-        _long_description(lengths_a), _long_description(lengths_b), ["measure", "statistic"]
-    )
+    """:func:`length_drift_of` for two length tables."""
+    named = [lengths.select("measure", "length", "n") for lengths in (lengths_a, lengths_b)]
+    return length_drift_of(tagged(*named))
 
 
-def _long_description(lengths: DataFrame) -> DataFrame:
-    described = P.describe_length(lengths)
-    names = [c for c in described.columns if c != "measure"]
-    doubles = described.select("measure", *[F.col(c).cast("double").alias(c) for c in names])
-    return doubles.unpivot("measure", names, "statistic", "value")
+def length_drift_of(lengths: DataFrame) -> DataFrame:
+    """``measure, statistic, value_a, value_b, delta`` of ``measure, length, n, side``."""
+    counted = lengths.groupBy(SIDE, "measure", "length").agg(F.sum("n").alias("n"))
+    described = P._describe(counted, [SIDE, "measure"])
+    names = [c for c in described.columns if c not in (SIDE, "measure")]
+    doubles = described.select(SIDE, "measure", *[F.col(c).cast("double").alias(c) for c in names])
+    long = doubles.unpivot([SIDE, "measure"], names, "statistic", "value")
+    return _sides_to_columns(long, ["measure", "statistic"], SIDE, "a", "b")
 
 
 def imbalance_drift(a: DataFrame, b: DataFrame, label_col: str = "label") -> DataFrame:
-    """``statistic, value_a, value_b, delta`` for the class count and the imbalance ratio."""
-    return _compare(_class_figures(a, label_col), _class_figures(b, label_col), ["statistic"])
+    """:func:`imbalance_drift_of` for two frames."""
+    return imbalance_drift_of(tagged(*[df.select(label_col) for df in (a, b)]), label_col)
 
 
-def _class_figures(df: DataFrame, label_col: str) -> DataFrame:
-    figures = P.label_distribution(df, label_col).agg(
-        F.count("*").cast("double").alias("num_classes"),
-        F.try_divide(F.max("n"), F.min("n")).cast("double").alias("imbalance_ratio"),
+def imbalance_drift_of(rows: DataFrame, label_col: str = "label") -> DataFrame:
+    """``statistic, value_a, value_b, delta`` for the class count and the imbalance ratio."""
+    figures = []
+    for side in ("a", "b"):
+        n = F.when(F.col(f"n_{side}") > 0, F.col(f"n_{side}"))
+        figures += [
+            F.count(n).cast("double").alias(f"count_{side}"),
+            F.try_divide(F.max(n), F.min(n)).cast("double").alias(f"ratio_{side}"),
+        ]
+    one = label_counts(rows, label_col).agg(*figures)
+    values = [("num_classes", "count"), ("imbalance_ratio", "ratio")]
+    items = [
+        F.struct(
+            F.lit(name).alias("statistic"),
+            F.col(f"{figure}_a").alias("value_a"),
+            F.col(f"{figure}_b").alias("value_b"),
+        )
+        for name, figure in values
+    ]
+    return one.select(F.inline(F.array(*items))).withColumn(
+        "delta", F.col("value_b") - F.col("value_a")
     )
-    return figures.unpivot([], figures.columns, "statistic", "value")
-
-
-def _compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    tagged = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
-    return _sides_to_columns(tagged, keys, "side", "a", "b")
 
 
 def _sides_to_columns(

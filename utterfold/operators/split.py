@@ -37,18 +37,28 @@ def split_exact(
     land on the same side. ``keys`` must identify a row. Ratio 0 keeps all rows
     in train; a ratio outside [0, 1) does so with a warning.
     """
-    keys = [keys] if isinstance(keys, str) else list(keys)
     if ratio == 0:
         return df, None
     if not 0 < ratio < 1:
         log.warning("split ratio %s is outside [0, 1): all rows stay in train", ratio)
         return df, None
+    chosen = in_validation(df, ratio, keys, seed)
+    return df.filter(~chosen), df.filter(chosen)
+
+
+def in_validation(
+    df: DataFrame, ratio: float, keys: Sequence[str] | str, seed: int = 42
+) -> Column:
+    """True for the rows that :func:`split_exact` puts into validation; 0 < ratio < 1.
+
+    As a column of one frame both sides stay in one scan.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     key = split_key(keys, seed)
     cut = _find_cut(df.select(key.alias("key")), ratio)
     if cut is None:
-        return df, df.limit(0)
-    chosen = F.substring(key, 1, len(cut)) <= F.lit(cut)
-    return df.filter(~chosen), df.filter(chosen)
+        return F.lit(False)
+    return F.substring(key, 1, len(cut)) <= F.lit(cut)
 
 
 def _find_cut(keyed: DataFrame, ratio: float) -> str | None:

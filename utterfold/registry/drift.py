@@ -9,8 +9,7 @@ from ..functions.vectors import argmax
 from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators import profile as P
-from ..operators.split import split_exact
-from ..session import cut_lineage
+from ..operators.split import in_validation, split_exact
 from .base import ALNUM, CORPUS, SOFTMAX, SPLIT, STOP, corpus, documents, query, r6, scored
 from .base import sql_clean_punct, sql_tokens
 
@@ -22,13 +21,20 @@ cnt AS (SELECT term, count(*) FILTER (side = 'a') AS n_a, count(*) FILTER (side
   FROM words WHERE {ALNUM("term")} AND term NOT IN {STOP} GROUP BY term)"""
 
 
+def _with_side(rows, source=None):
+    """``rows`` with their side of the split; the cut is found in ``source``."""
+    chosen = in_validation(rows if source is None else source, 0.2, "doc_id")
+    return rows.withColumn("side", F.when(chosen, "b").otherwise("a"))
+
+
 def _sides(spark, folder):
-    return split_exact(corpus(spark, folder).drop("text"), 0.2, "doc_id")
+    # every document has one label row at most, so the cut is that of the documents
+    return _with_side(corpus(spark, folder).drop("text"), documents(spark, folder))
 
 
 def _text_sides(spark, folder):
-    sides = split_exact(documents(spark, folder), 0.2, "doc_id")
-    return [side.withColumn("text", clean_punct(F.col("text"))) for side in sides]
+    rows = documents(spark, folder).select("doc_id", "text")
+    return _with_side(rows).withColumn("text", clean_punct(F.col("text")))
 
 
 @query(
@@ -43,19 +49,13 @@ def _text_sides(spark, folder):
     FROM s""",
 )
 def label_drift(spark, folder):
-    drift = D.label_drift(*_sides(spark, folder))
+    drift = D.label_drift_of(_sides(spark, folder))
     return drift.select(
         "label", "n_a", "n_b", *[r6(c).alias(c) for c in ("share_a", "share_b", "share_delta")],
         "status",
     )
 
 
-def _terms(spark, folder):
-    return [
-        P.without_stopwords(P.term_counts(side, "doc_id")) for side in _text_sides(spark, folder)
-    ]
-
-
 @query(
     "vocab_drift",
     f"""WITH {_TERMS}
@@ -64,7 +64,7 @@ def _terms(spark, folder):
            count(*) FILTER (n_b = 0) AS n_only_a, count(*) FILTER (n_a = 0) AS n_only_b FROM cnt""",
 )
 def vocab_drift(spark, folder):
-    return D.vocab_drift(*_terms(spark, folder))
+    return D.vocab_drift_of(D.term_sides(_text_sides(spark, folder)))
 
 
 @query(
@@ -78,8 +78,7 @@ def vocab_drift(spark, folder):
     FROM r WHERE (at_a <= 25 AND n_a > 0) OR (at_b <= 25 AND n_b > 0)""",
 )
 def term_rank_change(spark, folder):
-    # read twice: side by side and for the ranks
-    return D.term_rank_change(*[cut_lineage(terms) for terms in _terms(spark, folder)])
+    return D.term_rank_change_of(D.term_sides(_text_sides(spark, folder)))
 
 
 @query(
@@ -98,8 +97,8 @@ def term_rank_change(spark, folder):
     FROM d GROUP BY measure, statistic""",
 )
 def length_drift(spark, folder):
-    a, b = (P.length_counts(side, label_col=None) for side in _text_sides(spark, folder))
-    drift = D.length_drift(a, b)
+    lengths = P.length_counts(_text_sides(spark, folder), label_col="side")
+    drift = D.length_drift_of(lengths.withColumnRenamed("label", "side"))
     return drift.select(
         "measure", "statistic", *[r6(c).alias(c) for c in ("value_a", "value_b", "delta")]
     )
@@ -116,7 +115,7 @@ def length_drift(spark, folder):
     FROM f GROUP BY statistic""",
 )
 def imbalance_drift(spark, folder):
-    drift = D.imbalance_drift(*_sides(spark, folder))
+    drift = D.imbalance_drift_of(_sides(spark, folder))
     return drift.select(
         "statistic", *[r6(c).alias(c) for c in ("value_a", "value_b", "delta")]
     )
