@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from ..config import MULTILABEL, CorpusConfig, require_column, validate_config
 from ..functions.text import clean_basic
 from ..operators.cleanup import apply_cleanup
-from ..operators.labels import build_label_map, encode_multiclass, encode_multilabel, unpack_labels
+from ..operators.labels import (
+    CONTENT,
+    build_label_map,
+    encode_multiclass,
+    encode_with_content,
+    unpack_labels,
+    unseen_labels,
+)
 from ..operators.split import split_exact
 from ..session import cut_lineage
 from ..sources.files import read_corpus
@@ -21,6 +28,8 @@ class PreparedCorpus:
     train: DataFrame
     validation: DataFrame | None
     label_map: DataFrame
+    #: ``label, n_rows`` of the labels a given map lacks; None if the map was built here.
+    unseen: DataFrame | None = None
 
 
 def load_corpus(spark: SparkSession, config: CorpusConfig) -> DataFrame:
@@ -44,15 +53,19 @@ def prepare(
     """Encode and split a loaded corpus.
 
     Multilabel rows are regrouped by text first, so equal texts never straddle
-    the split. Multiclass rows are split by ``row_id``, which is needed because
-    texts may repeat.
+    the split; their content ids are its keys. Multiclass rows are split by ``row_id``,
+    which is needed because texts may repeat. Rows whose labels a given map lacks are
+    dropped or lose that label; ``unseen`` says which.
     """
+    unseen = None
     if label_map is None:
         label_map = build_label_map(df, config.label_col)
+    else:
+        unseen = unseen_labels(df, label_map, config.label_col)
     text = config.text_col
     if config.task == MULTILABEL:
-        encoded = encode_multilabel(df, label_map, text, config.label_col)
-        keys = [text]
+        encoded = encode_with_content(df, label_map, text, config.label_col)
+        keys = [CONTENT]
     else:
         encoded = encode_multiclass(df, label_map, config.label_col)
         keys = [row_id] if row_id else None
@@ -64,4 +77,4 @@ def prepare(
     wanted = [F.col(text), F.col("labels")]
     if validation is not None:
         validation = validation.select(*wanted)
-    return PreparedCorpus(train.select(*wanted), validation, label_map)
+    return PreparedCorpus(train.select(*wanted), validation, label_map, unseen)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import MULTICLASS, check_task
-from ..operators.labels import MAX_LABELS, bounded_map
+from ..operators.labels import bounded_map
 from .files import csv_options
 
 
@@ -26,12 +26,13 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 def save_label_map(label_map: DataFrame, path: str) -> None:
     """Labels and ids as JSON rows; ids stay numbers and serve both directions."""
-    label_map.select("label", "label_id").coalesce(1).write.mode("overwrite").json(path)
+    label_map.select("label", "label_id").write.mode("overwrite").json(path)
 
 
-def load_label_map(spark: SparkSession, path: str, max_labels: int = MAX_LABELS) -> DataFrame:
-    """The saved map. Like a built one it is bounded, so it may be broadcast."""
-    return bounded_map(spark.read.schema("label string, label_id int").json(path), max_labels)
+def load_label_map(spark: SparkSession, path: str, max_labels: int | None = None) -> DataFrame:
+    """The saved map; with ``max_labels`` a longer one is an error."""
+    stored = spark.read.schema("label string, label_id int").json(path)
+    return stored if max_labels is None else bounded_map(stored, max_labels)
 
 
 def save_metrics(metrics: DataFrame, run_id: str, split: str, path: str) -> None:
