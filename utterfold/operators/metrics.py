@@ -181,8 +181,18 @@ def roc_auc_ovr(df: DataFrame, truth_col: str, logits_col: str) -> DataFrame:
     return _long(row, ["roc_auc_ovr"])
 
 
+def _row_loss(truth: Column, logits: Column) -> Column:
+    """Cross-entropy of a row, null without truth or logits; an id outside them is an error."""
+    outside = (truth < 0) | (truth >= F.size(logits))
+    message = F.concat(F.lit("class id outside the logits: "), truth.cast("string"))
+    return F.when(outside, F.raise_error(message).cast("double")).otherwise(
+        V.cross_entropy(logits, truth)
+    )
+
+
 def cross_entropy_loss(df: DataFrame, truth_col: str, logits_col: str) -> DataFrame:
-    row = df.agg(F.avg(V.cross_entropy(F.col(logits_col), F.col(truth_col))).alias("loss"))
+    """Mean over the rows that have truth and logits, as in :func:`compute_metrics`."""
+    row = df.agg(F.avg(_row_loss(F.col(truth_col), F.col(logits_col))).alias("loss"))
     return _long(row.select(F.coalesce("loss", F.lit(NAN)).alias("loss")), ["loss"])
 
 
@@ -385,13 +395,17 @@ def compute_metrics(
     if task == MULTICLASS:
         # the loss rides along with the confusion counts
         confusion = (
-            slim.withColumn("loss", V.cross_entropy(F.col("logits"), F.col("truth")))
+            slim.withColumn("loss", _row_loss(F.col("truth"), F.col("logits")))
             .groupBy(F.col("truth").alias("true_id"), V.argmax(F.col("logits")).alias("pred_id"))
-            .agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
+            .agg(
+                F.count("*").alias("n"),
+                F.sum("loss").alias("loss"),
+                F.count("loss").alias("n_losses"),
+            )
         )
-        loss = confusion.agg(_ratio(F.sum("loss"), F.sum("n"), NAN).alias("loss"))
+        loss = confusion.agg(_ratio(F.sum("loss"), F.sum("n_losses"), NAN).alias("loss"))
         return (
-            metrics_of_confusion(confusion.drop("loss"))
+            metrics_of_confusion(confusion.drop("loss", "n_losses"))
             .unionByName(roc_auc_ovr(slim, "truth", "logits"))
             .unionByName(_long(loss, ["loss"]))
         )
