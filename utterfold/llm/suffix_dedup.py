@@ -26,7 +26,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,7 +40,8 @@ RUN_BYTES, RANGE_BYTES = 12 << 20, 24 << 20
 #: Suffixes that may meet at one gram in the merge. Counted are grams that as many
 #: different suffixes of a run hold as the second number says.
 CROWD, CROWD_IN_RUN = 20_000, 8
-#: Documents that the splitters are taken from, and suffixes of each.
+#: Least number of documents that the splitters are taken from, and suffixes of each; with
+#: more ranges than that there is a document for each range.
 SAMPLE_DOCS, SAMPLE_EACH = 2000, 8
 _SPLIT = 16  # bytes of a splitter: fewer than a gram, so equal grams stay together
 
@@ -49,6 +49,9 @@ _SPAN = LENGTH - GRAM + 1  # grams of a string
 _PIECE = 1 << 22
 _INDEX = np.uint64((1 << 24) - 1)
 _PLACES = np.dtype([("ref", "<i8"), ("key", "<i8"), ("pos", "<u4")])
+_STRINGS = np.dtype(
+    [("d1", "<u8"), ("d2", "<u8"), ("ref", "<i8"), ("key", "<i8"), ("start", "<u4")]
+)
 _MARKS = np.dtype([("ref", "<i8"), ("key", "<i8"), ("start", "<u4"), ("end", "<u4")])
 
 
@@ -68,8 +71,12 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return hashes * np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``pos, first, last, gram``: anchors, first and last start of their strings, gram hash."""
+def anchors(raw: np.ndarray, whole: bool = False) -> tuple[np.ndarray, ...]:
+    """``pos, first, last, gram``: anchors, first and last start of their strings, gram hash.
+
+    With ``whole`` also a hash of all bytes from the first start to the last end, the sum
+    of the hashes of their grams.
+    """
     found = []
     for at in range(0, max(len(raw) - LENGTH + 1, 0), _PIECE):
         part = raw[at : at + _PIECE + LENGTH - 1]
@@ -83,10 +90,14 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         pos = (least & _INDEX).astype(np.int64)
         turn = np.flatnonzero(np.diff(pos, prepend=-1))
         last = np.append(turn[1:], len(pos)) - 1
-        found.append((pos[turn] + at, turn + at, last + at, hashes[pos[turn]]))
+        row = [pos[turn] + at, turn + at, last + at, hashes[pos[turn]]]
+        if whole:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes)])
+            row.append(sums[last + _SPAN] - sums[turn])
+        found.append(row)
     if not found:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty.astype(np.uint64)
+        return (empty, empty, empty, *[empty.astype(np.uint64)] * (1 + whole))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -259,11 +270,81 @@ def _packed(marks: list[tuple[int, int, int, int]]) -> bytes:
     return zstandard.compress(np.array(marks, dtype=_MARKS).tobytes(), 1)
 
 
+class _Strings:
+    """Strings at crowded grams, by digest, each reduced to its least place in the task.
+
+    The other places are marked at once. A range of digests is a part of its own, so a
+    phrase that a third of all texts hold is spread over all of them.
+    """
+
+    #: Strings and marks that are held at once.
+    MOST = 200_000
+
+    def __init__(self, parts: int):
+        self.parts = parts
+        self.waiting: list[tuple] = []
+        self.first: dict[bytes, tuple[int, int, int]] = {}
+        self.later: list[tuple[int, int, int, int]] = []
+
+    def wait(self, ref: int, key: int, text: bytes, first: np.ndarray, last: np.ndarray) -> None:
+        self.waiting.append((ref, key, text, first.tolist(), last.tolist()))
+
+    def full(self) -> Iterator[tuple[int, bytes]]:
+        """Digest what waits; ``part, blob`` of what has become too much to hold."""
+        for ref, key, text, firsts, lasts in self.waiting:
+            for a, b in zip(firsts, lasts, strict=True):
+                for start in range(a, b + 1):
+                    string = text[start : start + LENGTH]
+                    digest = hashlib.blake2b(string, digest_size=16).digest()
+                    place = (ref, key, start)
+                    known = self.first.setdefault(digest, place)
+                    if known != place:
+                        if place < known:
+                            self.first[digest], place = place, known
+                        self.later.append((*place, place[2] + LENGTH))
+                if len(self.first) + len(self.later) >= self.MOST:
+                    yield from self.rest()
+        self.waiting.clear()
+
+    def rest(self) -> Iterator[tuple[int, bytes]]:
+        rows = np.zeros(len(self.first), dtype=_STRINGS)
+        digests = np.frombuffer(b"".join(self.first), "<u8").reshape(-1, 2)
+        rows["d1"], rows["d2"] = digests[:, 0], digests[:, 1]
+        places = np.array(list(self.first.values()), dtype=np.int64).reshape(-1, 3)
+        rows["ref"], rows["key"], rows["start"] = places.T
+        part = (rows["d1"] % np.uint64(self.parts)).astype(np.int64)
+        for i in np.unique(part).tolist():
+            blob = zstandard.compress(rows[part == i].tobytes(), 1)
+            yield 2 * self.parts + i, blob
+        if self.later:
+            joined = _joined(self.later)
+            yield self.parts + abs(joined[0][1]) % self.parts, _packed(joined)
+        self.first, self.later = {}, []
+
+
+def _later_strings(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """Stretches of the strings of some digests that stand at an earlier place as well."""
+    rows = np.concatenate([np.frombuffer(zstandard.decompress(b), dtype=_STRINGS) for b in blobs])
+    rows = rows[np.lexsort([rows[c] for c in ("start", "key", "ref", "d2", "d1")])]
+    begins = np.ones(len(rows), dtype=bool)
+    begins[1:] = (rows["d1"][1:] != rows["d1"][:-1]) | (rows["d2"][1:] != rows["d2"][:-1])
+    first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    again = np.zeros(len(rows), dtype=bool)
+    for c in ("ref", "key", "start"):
+        again |= rows[c] != rows[c][first]
+    found = rows[again]
+    ends = found["start"].astype(np.int64) + LENGTH
+    return _joined(
+        list(zip(*(found[c].tolist() for c in ("ref", "key", "start")), ends.tolist(), strict=True))
+    )
+
+
 class _Sorter:
     """Collects suffixes up to a run's size and yields the run's pieces."""
 
     def __init__(self, splitters: list[bytes], crowded: np.ndarray):
         self.splitters, self.crowded = splitters, crowded
+        self.strings = _Strings(len(splitters) + 1)
         self.clear()
 
     def clear(self) -> None:
@@ -276,7 +357,10 @@ class _Sorter:
         raw = np.frombuffer(text, dtype=np.uint8)
         pos, first, last, gram = anchors(raw)
         if len(self.crowded):
-            calm = ~np.isin(gram, self.crowded)
+            near = np.minimum(np.searchsorted(self.crowded, gram), len(self.crowded) - 1)
+            calm = self.crowded[near] != gram
+            if not calm.all():
+                self.strings.wait(ref, key, text, first[~calm], last[~calm])
             pos, first, last = pos[calm], first[calm], last[calm]
         end = last + LENGTH
         for p, a, b in zip(pos.tolist(), first.tolist(), end.tolist(), strict=True):
@@ -288,7 +372,11 @@ class _Sorter:
         self.size += len(text)
 
     def run(self) -> Iterator[tuple[int, bytes]]:
-        """``part, blob``: a piece per range; repeats within the run as parts after those."""
+        """``part, blob``: a piece per range; after the ranges come parts for repeats within
+        the run, and after these parts for the strings at crowded grams.
+        """
+        yield from self.strings.full()
+        yield from self.strings.rest()
         if not self.keys:
             self.clear()
             return
@@ -373,13 +461,12 @@ def _crowded(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[np.ndarray] = []
-        wholes: list[int] = []
+        wholes: list[np.ndarray] = []
         size = 0
 
         def counts() -> Iterator[pa.RecordBatch]:
             gram = np.concatenate(grams)
-            whole = np.array(wholes, dtype=np.int64).view(np.uint64)
-            both = gram ^ (whole * np.uint64(0x9E3779B97F4A7C15))
+            both = gram ^ (np.concatenate(wholes) * np.uint64(0x9E3779B97F4A7C15))
             found, n = np.unique(gram[np.unique(both, return_index=True)[1]], return_counts=True)
             often = n >= least
             yield pa.RecordBatch.from_arrays(
@@ -390,10 +477,9 @@ def _crowded(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for value in batch["text"]:
                 text = value.as_py().encode("utf-8", "surrogatepass")
-                _, first, last, gram = anchors(np.frombuffer(text, dtype=np.uint8))
+                _, _, _, gram, whole = anchors(np.frombuffer(text, dtype=np.uint8), whole=True)
                 grams.append(gram)
-                ends = (last + LENGTH).tolist()
-                wholes += [hash(text[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
+                wholes.append(whole)
                 size += len(text)
                 if size >= run_bytes:
                     yield from counts()
@@ -406,66 +492,6 @@ def _crowded(texts: DataFrame) -> np.ndarray:
     return np.array(sorted(r["gram"] for r in sums.collect()), dtype=np.int64).view(np.uint64)
 
 
-def _crowded_marks(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
-    """``doc_ref, doc_key, start, end`` of the repeated strings at crowded grams.
-
-    Strings are reduced to their least place before the shuffle, so one that stands in a
-    third of all texts arrives as a few rows; its other places are marked at once.
-    """
-    most = 200_000
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_place: dict[bytes, tuple[int, int, int]] = {}
-        later: list[tuple[int, int, int]] = []
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            digests = [*first_place, *[None] * len(later)]
-            places = [*first_place.values(), *later]
-            columns = [pa.array([x[i] for x in places], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), *columns], ["digest", "doc_ref", "doc_key", "start"]
-            )
-            first_place.clear()
-            later.clear()
-
-        for batch in batches:
-            for ref, key, value in zip(
-                batch["doc_ref"], batch["doc_key"], batch["text"], strict=True
-            ):
-                ref, key = ref.as_py(), key.as_py()
-                text = value.as_py().encode("utf-8", "surrogatepass")
-                _, first, last, gram = anchors(np.frombuffer(text, dtype=np.uint8))
-                held = np.isin(gram, crowded)
-                for a, b in zip(first[held].tolist(), last[held].tolist(), strict=True):
-                    for start in range(a, b + 1):
-                        string = text[start : start + LENGTH]
-                        digest = hashlib.blake2b(string, digest_size=16).digest()
-                        place = (ref, key, start)
-                        known = first_place.setdefault(digest, place)
-                        if known != place:
-                            first_place[digest] = min(known, place)
-                            later.append(max(known, place))
-                    if len(first_place) + len(later) >= most:
-                        yield from rows()
-        yield from rows()
-
-    schema = "digest binary, doc_ref long, doc_key long, start long"
-    strings = texts.select("doc_ref", "doc_key", "text").mapInArrow(run, schema)
-    strings = stage(strings, "strings")
-    place = F.struct("doc_ref", "doc_key", "start")
-    least = (
-        strings.where(F.col("digest").isNotNull())
-        .groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .drop("last")
-    )
-    again = strings.join(least.hint("merge"), "digest").where(place > F.col("first"))
-    columns = ["doc_ref", "doc_key", "start", (F.col("start") + LENGTH).alias("end")]
-    at_once = strings.where(F.col("digest").isNull())
-    return again.select(*columns).union(at_once.select(*columns))
-
-
 # --- the operator --------------------------------------------------------------------
 
 
@@ -474,7 +500,7 @@ def _splitters(texts: DataFrame, parts: int) -> list[bytes]:
     if parts < 2:
         return []
     n = texts.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
+    share = min(1.0, max(SAMPLE_DOCS, parts) / max(n, 1))
     chosen = texts.where(
         F.pmod(F.xxhash64("doc_ref", "doc_key", F.lit("s")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     )
@@ -505,8 +531,8 @@ def _marks(texts: DataFrame) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorter = _Sorter(splitters, crowded)
 
-        def pieces() -> Iterator[pa.RecordBatch]:
-            for part, blob in sorter.run():
+        def pieces(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            for part, blob in found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([blob], pa.binary())],
                     ["part", "blob"],
@@ -519,31 +545,36 @@ def _marks(texts: DataFrame) -> DataFrame:
                 sorter.add(
                     ref.as_py(), key.as_py(), text.as_py().encode("utf-8", "surrogatepass")
                 )
+                yield from pieces(sorter.strings.full())
                 if sorter.size >= RUN_BYTES:
-                    yield from pieces()
-        yield from pieces()
+                    yield from pieces(sorter.run())
+        yield from pieces(sorter.run())
+
+    def marks_of(part: int, blobs: list[bytes]) -> np.ndarray:
+        if part < parts:
+            return np.array(_merge_range(blobs), dtype=_MARKS)
+        if part >= 2 * parts:
+            return np.array(_later_strings(blobs), dtype=_MARKS)
+        return np.concatenate(
+            [np.frombuffer(zstandard.decompress(b), dtype=_MARKS) for b in blobs]
+        )
 
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        blobs = group["blob"].tolist()
-        if key[0] < parts:
-            marks = np.array(_merge_range(blobs), dtype=_MARKS)
-        else:
-            marks = np.concatenate(
-                [np.frombuffer(zstandard.decompress(b), dtype=_MARKS) for b in blobs]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(batch["part"], batch["blob"], strict=True):
+                pieces.setdefault(part.as_py(), []).append(blob.as_py())
+        for part in sorted(pieces):
+            marks = marks_of(part, pieces.pop(part))
+            columns = [marks[c].astype(np.int64) for c in ("ref", "key", "start", "end")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], ["doc_ref", "doc_key", "start", "end"]
             )
-        return pd.DataFrame(
-            {
-                "doc_ref": marks["ref"],
-                "doc_key": marks["key"],
-                "start": marks["start"].astype(np.int64),
-                "end": marks["end"].astype(np.int64),
-            }
-        )
 
     runs = texts.mapInArrow(sort, "part int, blob binary")
     schema = "doc_ref long, doc_key long, start long, end long"
-    marks = runs.repartition(2 * parts, "part").groupBy("part").applyInPandas(merge, schema)
-    return marks.union(_crowded_marks(texts, crowded)) if len(crowded) else marks
+    # every part is a partition of its own, so no task gets two ranges
+    return runs.repartitionById(3 * parts, "part").mapInArrow(merge, schema)
 
 
 def dedup_substrings(
