@@ -1,52 +1,5 @@
 """Joins that stay even when one key holds a large part of all rows."""
 
-from __future__ import annotations
+from ..operators.lookup import SHARES, count_keys, hot_keys, salted_join
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .common import free_name
-
-#: A key with more than this part of all rows is hot, so fewer than so many keys are.
-SHARES = 1000
-
-
-def hot_keys(counts: DataFrame, total: int, keys: list[str], shares: int = SHARES) -> DataFrame:
-    """``*keys, copies`` of the keys with more than ``1 / shares`` of all ``total`` rows.
-
-    ``counts`` has ``*keys, n`` and may leave out rare keys. ``copies`` says into how many
-    parts of an even size a key's rows are to be dealt. Fewer than ``shares`` keys can be
-    hot, whatever the input, so the table may be broadcast.
-    """
-    copies = F.ceil(F.col("n") * shares / F.lit(max(total, 1))).cast("int")
-    return counts.where(F.col("n") * shares > total).select(*keys, copies.alias("copies"))
-
-
-def count_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
-
-
-def salted_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    by: Column,
-    how: str = "inner",
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``rows``, whose keys may be hot, with ``lookup`` on ``keys``.
-
-    The rows of a hot key are dealt by ``by``, and its rows of ``lookup`` are repeated
-    for each part. ``how`` is any join that keeps no unmatched row of ``lookup``. Null
-    keys match nothing. Without ``hot`` (from ``hot_keys``) the rows are counted first, so
-    pass a stored table.
-    """
-    if hot is None:
-        hot = hot_keys(count_keys(rows, keys), rows.count(), keys)
-    hot = F.broadcast(hot)
-    part = free_name("_part", rows)
-    dealt = F.coalesce(F.pmod(F.xxhash64(by), F.col("copies")).cast("int"), F.lit(0))
-    left = rows.join(hot, keys, "left").withColumn(part, dealt).drop("copies")
-    parts = F.sequence(F.lit(0), F.coalesce(F.col("copies"), F.lit(1)) - 1)
-    right = lookup.join(hot, keys, "left").withColumn(part, F.explode(parts)).drop("copies")
-    return left.join(right, [*keys, part], how).drop(part)
+__all__ = ["SHARES", "count_keys", "hot_keys", "salted_join"]
