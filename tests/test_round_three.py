@@ -288,3 +288,32 @@ def test_loss_has_one_definition(spark):
     for run in (lambda: Me.cross_entropy_loss(bad, "labels", "logits"), lambda: Me.compute_metrics(bad, MULTICLASS)):
         with pytest.raises(Exception, match="outside the logits"):
             run().collect()
+
+
+def test_a_hundred_thousand_stopwords(spark, monkeypatch):
+    texts = [f"the w{i % 700} w{i % 13} of{i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    words = [f"w{i}" for i in range(100_000)] + ["the"]
+    frame = spark.createDataFrame([(w,) for w in words[:300] + ["the", "the"]], "word string")
+    long = P.term_counts(df, "id", words=words)
+    monkeypatch.setattr(P, "MAX_LITERAL_WORDS", 1 << 20)
+    literal = P.term_counts(df, "id", words=words)
+    assert sorted(map(tuple, long.collect())) == sorted(map(tuple, literal.collect()))
+    assert P.without_stopwords(long).filter("term RLIKE '^(w|the)'").count() == 0
+    want = P.corpus_tokens(df, "id", words=words[:300] + ["the"]).collect()
+    assert sorted(map(tuple, P.corpus_tokens(df, "id", words=frame).collect())) == sorted(map(tuple, want))
+    monkeypatch.setattr(P, "MAX_LITERAL_WORDS", 10)
+    assert sorted(map(tuple, P.corpus_tokens(df, "id", words=words[:300] + ["the"]).collect())) == sorted(
+        map(tuple, want)
+    )
+
+
+def test_logits_that_are_no_numbers_are_answered_as_errors(spark):
+    from utterfold.config import MULTICLASS
+    from utterfold.operators.scoring import answer_requests, names_array
+
+    rows = [("a", "x", [1.0, 2.0]), ("b", "x", [float("nan"), 1.0]), ("c", "x", None), ("d", " ", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "request_id string, text string, logits array<double>")
+    got = {r["request_id"]: (r["error"] or {"label": None})["label"]
+           for r in answer_requests(df, MULTICLASS, names_array(["p", "q"])).collect()}
+    assert got == {"a": None, "b": "INTERNAL_ERROR", "c": "INTERNAL_ERROR", "d": "TEXT_EMPTY"}

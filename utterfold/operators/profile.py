@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.vectors import bind
+from .lookup import dictionary_join, free_name
 
 IMBALANCE_LIMIT = 10.0
 
@@ -285,40 +287,76 @@ def _first_seen(row_id: Column) -> Column:
     return row_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
 
 
+#: Longer stopword lists are joined as tables; a literal of them would slow every task down.
+MAX_LITERAL_WORDS = 2000
+
+Words = Iterable[str] | DataFrame
+
+
+def _word_table(spark: SparkSession, words: Words) -> DataFrame | None:
+    """Distinct ``word`` of a long list or a frame's first column; None for a short list."""
+    if isinstance(words, DataFrame):
+        return words.select(F.col(f"`{words.columns[0]}`").cast("string").alias("word")).distinct()
+    words = sorted(set(words))
+    if len(words) <= MAX_LITERAL_WORDS:
+        return None
+    return spark.createDataFrame(pd.DataFrame({"word": words}), "word string")
+
+
+def mark_stopwords(terms: DataFrame, words: Words) -> DataFrame:
+    """Add ``is_stopword`` to a table of terms, from a list of any length or a frame.
+
+    Terms are counted before, so a long list meets one row per term.
+    """
+    words = words if isinstance(words, DataFrame) else list(words)
+    table = _word_table(terms.sparkSession, words)
+    if table is None:
+        return terms.withColumn("is_stopword", T.is_stopword(F.col("term"), words))
+    found = free_name("_found", terms)
+    marked = dictionary_join(terms, table.withColumn(found, F.lit(True)), "term", "left")
+    return marked.withColumn("is_stopword", F.coalesce(found, F.lit(False))).drop(found)
+
+
 def corpus_tokens(
     df: DataFrame,
     row_id: str,
     text_col: str = "text",
     remove_stopwords: bool = True,
-    words: Iterable[str] = T.ENGLISH_STOPWORDS,
+    words: Words = T.ENGLISH_STOPWORDS,
 ) -> DataFrame:
-    """``row_id, pos, token``: the alphanumeric tokens of cleaned text."""
+    """``row_id, pos, token``: the alphanumeric tokens of cleaned text.
+
+    A long stopword list, or a frame of words, is taken out by an anti join: broadcast if
+    it is measured to be small, with the most frequent tokens in parts otherwise.
+    """
+    words = words if isinstance(words, DataFrame) else list(words)
     exploded = df.select(
         F.col(row_id).alias("row_id"),
         F.posexplode(T.raw_tokens(F.col(text_col))).alias("pos", "token"),
-    )
-    kept = T.is_alnum(F.col("token"))
-    if remove_stopwords:
-        kept = kept & ~T.is_stopword(F.col("token"), words)
-    return exploded.filter(kept)
+    ).filter(T.is_alnum(F.col("token")))
+    if not remove_stopwords:
+        return exploded
+    table = _word_table(df.sparkSession, words)
+    if table is None:
+        return exploded.filter(~T.is_stopword(F.col("token"), words))
+    return dictionary_join(exploded, table, "token", "left_anti")
 
 
 def term_counts(
     df: DataFrame,
     row_id: str,
     text_col: str = "text",
-    words: Iterable[str] = T.ENGLISH_STOPWORDS,
+    words: Words = T.ENGLISH_STOPWORDS,
 ) -> DataFrame:
     """``term, n, first_seen, is_stopword`` over all alphanumeric tokens."""
     exploded = df.select(
         _first_seen(F.col(row_id)).alias("base"),
         F.posexplode(T.raw_tokens(F.col(text_col))).alias("pos", "term"),
     ).filter(T.is_alnum(F.col("term")))
-    return (
-        exploded.groupBy("term")
-        .agg(F.count("*").alias("n"), F.min(F.col("base") + F.col("pos")).alias("first_seen"))
-        .withColumn("is_stopword", T.is_stopword(F.col("term"), words))
+    counted = exploded.groupBy("term").agg(
+        F.count("*").alias("n"), F.min(F.col("base") + F.col("pos")).alias("first_seen")
     )
+    return mark_stopwords(counted, words)
 
 
 def without_stopwords(terms: DataFrame) -> DataFrame:

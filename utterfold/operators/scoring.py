@@ -173,14 +173,15 @@ def answer_requests(
 ) -> DataFrame:
     """``request_id, intents, error`` for scored requests, batch or streaming.
 
-    Exactly one of ``intents`` (at most ``k``) and ``error`` is set. A row
-    without logits answers with the scorer's message as an internal error.
+    Exactly one of ``intents`` (at most ``k``) and ``error`` is set. A row without
+    logits, or with one that is no number, answers with an internal error: the scorer's
+    message if there is one. No such row stops the others.
     """
     message = (
         F.col("error_message") if "error_message" in scored.columns else F.lit(None).cast("string")
     )
     failed = F.when(
-        F.col(logits_col).isNull(),
+        F.col(logits_col).isNull() | F.exists(logits_col, lambda x: x.isNull() | F.isnan(x)),
         F.struct(
             F.lit(INTERNAL_ERROR).alias("label"),
             F.coalesce(message, F.lit("no scores")).alias("message"),

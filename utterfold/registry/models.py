@@ -256,7 +256,7 @@ def train_multilabel(spark, folder):
     return _train(spark, folder, MULTILABEL, _parts(spark, folder), None)
 
 
-def _request_stream(spark, folder):
+def request_stream(spark, folder):
     turns = table(spark, folder, "conversations")
     stream = (
         spark.readStream.schema(turns.schema)
@@ -288,7 +288,7 @@ def _drained(spark, answers):
 def stream_model(spark, folder):
     """Per request the number of intents, the error, and whether they fall in confidence."""
     model = _language_model(spark, folder)
-    answers = _drained(spark, score_stream(_request_stream(spark, folder), model))
+    answers = _drained(spark, score_stream(request_stream(spark, folder), model))
     confidences = F.col("intents.confidence")
     falling = F.coalesce(confidences == F.sort_array(confidences, asc=False), F.lit(True))
     return answers.select(
@@ -303,7 +303,7 @@ def stream_model(spark, folder):
 def stream_equals_batch(spark, folder):
     """The streamed answers are the batch answers."""
     model = _language_model(spark, folder)
-    streamed = _drained(spark, score_stream(_request_stream(spark, folder), model))
+    streamed = _drained(spark, score_stream(request_stream(spark, folder), model))
     return _same_answers(streamed, score_stream(requests(spark, folder), model))
 
 
@@ -317,7 +317,7 @@ def stream_equals_batch(spark, folder):
 )
 def stream_scorer(spark, folder):
     answers = score_stream_with(
-        _request_stream(spark, folder), LetterScorer, MULTICLASS, LETTERS, batch_size=64
+        request_stream(spark, folder), LetterScorer, MULTICLASS, LETTERS, batch_size=64
     )
     exploded = _drained(spark, answers).select(
         "request_id", F.posexplode("intents").alias("at", "item")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, CorpusConfig
@@ -13,10 +16,12 @@ from ..plans.training_run import load_run, run_training
 from ..session import scratch_path
 from ..sources import files
 from ..sources.publish import current
-from ..streaming.scoring import score_stream_with
-from .base import CORPUS, big, corpus, documents, joined, query, r6, requests, sql_clean_punct
+from ..streaming.scoring import read_answers, replacing, score_stream_with, write_answers_once
+from .base import CORPUS, REQUESTS, big, corpus, documents, joined, query, r6, requests
+from .base import sql_clean_punct
 from .base import sql_tokens, table
 from .labels import _MAP
+from .models import request_stream
 from .scores import LETTER_SQL, LETTERS, LetterScorer
 
 
@@ -130,6 +135,30 @@ def answers_with_errors(spark, folder):
     )
 
 
+@query(
+    "score_stream_replayed",
+    f"""WITH {REQUESTS} SELECT request_id, count(*) AS n_answers FROM requests GROUP BY request_id""",
+)
+def stream_replayed(spark, folder):
+    """A streaming query that dies after writing a batch answers each request once."""
+    path, progress = scratch_path(spark, "answers"), scratch_path(spark, "progress")
+    answers = score_stream_with(
+        request_stream(spark, folder), LetterScorer, MULTICLASS, LETTERS, batch_size=64
+    )
+    write = replacing(path)
+
+    def dies(batch, number):
+        write(batch, number)
+        raise RuntimeError("killed after writing")
+
+    first = answers.writeStream.foreachBatch(dies).option("checkpointLocation", progress)
+    with contextlib.suppress(StreamingQueryException):
+        first.trigger(availableNow=True).start().awaitTermination()
+    write_answers_once(answers, path, progress, available_now=True).awaitTermination()
+    found = read_answers(spark, path)
+    return found.groupBy("request_id").agg(F.count("*").alias("n_answers"))
+
+
 _SPOKEN = ("“Cannot” gonna", "lemme «wanna»")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.model import IntentModel
-from ..operators.scoring import Scorer, answer_requests, names_array, score_with
+from ..operators.scoring import ERROR_TYPE, Scorer, answer_requests, names_array, score_with
 
 
 def score_stream(
@@ -41,6 +42,38 @@ def score_stream_with(
     return answer_requests(scored, task, names_array(labels), id_col, text_col)
 
 
+def replacing(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer for ``foreachBatch`` that may see a batch more than once.
+
+    Every batch has a partition of its own; a batch that is replayed after a crash
+    replaces what it had written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn("batch", F.lit(number).cast("bigint"))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "batch"
+        ).json(path)
+
+    return write
+
+
+def write_answers_once(
+    answers: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """As :func:`write_answers`, each request answered once whatever is replayed."""
+    writer = answers.writeStream.foreachBatch(replacing(path))
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """``request_id, intents, error`` of what :func:`write_answers_once` left."""
+    intents = "array<struct<label:string,confidence:double>>"
+    schema = f"request_id string, intents {intents}, error {ERROR_TYPE}, batch bigint"
+    return spark.read.schema(schema).json(path).drop("batch")
+
+
 def write_answers(
     answers: DataFrame, path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
