@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, MULTILABEL, CorpusConfig
@@ -80,9 +79,9 @@ def features_of_counts(spark, folder):
     """Terms and total weight of each document in the feature vectors of a fit."""
     rows = _language_rows(spark, folder).select("doc_id", "text")
     features, _ = featurize(rows, vectorizer="count", n_features=1 << 20)
-    values = vector_to_array("features")
-    weight = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
     plain = F.unwrap_udt("features")
+    # the stored values are a document's terms; as a dense array it is as long as the vocabulary
+    weight = F.aggregate(plain["values"], F.lit(0.0), lambda s, x: s + x)
     return features.select(
         "doc_id",
         # a term that every document holds weighs nothing and is stored all the same
