@@ -257,11 +257,9 @@ def train_multilabel(spark, folder):
 
 def request_stream(spark, folder):
     turns = table(spark, folder, "conversations")
-    stream = (
-        spark.readStream.schema(turns.schema)
-        .option("pathGlobFilter", "conversations.parquet")
-        .parquet(folder)
-    )
+    # one file or a folder of files; a pattern, for a plain path must be a folder
+    path = f"{folder.rstrip('/')}/conversations[.]parquet"
+    stream = spark.readStream.schema(turns.schema).parquet(path)
     return stream.filter(F.col("role") == "user").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text"
     )
