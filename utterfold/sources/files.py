@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import require_column
-from .records import read_lines, records, stream_records
+from .records import records, stream_records
 
 # Field contents read as missing in delimited corpora.
 NA_TOKENS = (
@@ -107,7 +107,9 @@ def streamed_delimited(
 ) -> DataFrame:
     """As for tables, from a ``spark.readStream`` with its options."""
     if multi_line:
-        found = stream_records(read_lines(reader, path), separator, header)
+        found = stream_records(
+            reader, path, separator, header, csv_options(separator), len(columns)
+        )
         return parsed_records(found, columns, separator)
     reader = reader.options(**csv_options(separator)).option("header", header)
     reader = reader.schema(checked_schema(columns)).option("columnNameOfCorruptRecord", _RAW)

@@ -11,7 +11,7 @@ next split are put together from their ends.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,7 @@ _SPLIT = ["file", "split"]
 def read_lines(reader, path: str) -> DataFrame:
     """``file, split, line`` of the splits that begin at byte ``split`` of a file.
 
-    ``reader`` is ``spark.read`` or ``spark.readStream`` with its options. Only a line
-    feed ends a line.
+    ``reader`` is ``spark.read`` with its options. Only a line feed ends a line.
     """
     return reader.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -138,72 +137,56 @@ def _states(codes: np.ndarray, state: int) -> tuple[np.ndarray, int]:
     return before, int(state + turned[-1]) & 1
 
 
-def _cut(whole_files: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines ``name, split, begins, code, line`` to records ``first, record``.
 
-    Both ends of a split that belong to a record of two splits are left out, unless the
-    splits must be whole files: then they are errors.
+    Both ends of a split that belong to a record of two splits are left out.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, state, first, waiting = None, 0, False, None
-
-        def finished() -> None:
-            if whole_files and state:
-                raise ValueError(f"unclosed quote: {''.join(waiting or [])[:200]}")
-
-        for batch in batches:
-            names, splits, begins, codes = (batch[c].to_numpy(False) for c in range(4))
-            lines = batch["line"]
-            turns = np.flatnonzero((names[1:] != names[:-1]) | (splits[1:] != splits[:-1])) + 1
-            for low, high in zip([0, *turns], [*turns, len(batch)], strict=True):
-                place = (int(names[low]), int(splits[low]))
-                if place != here:
-                    finished()
-                    here, state, waiting = place, int(begins[low]), None
-                    first = place[1] == 0
-                    if whole_files and place[1]:
-                        raise ValueError(
-                            "a file is larger than spark.sql.files.maxPartitionBytes; raise "
-                            "that setting or read with multi_line=False"
-                        )
-                before, state = _states(codes[low:high], state)
-                starts = low + np.flatnonzero(before == 0)
-                ends = np.append(starts[1:], high)
-                done = []
-                if waiting is not None:
-                    until = starts[0] if len(starts) else high
-                    waiting += lines.slice(low, until - low).to_pylist()
-                    if len(starts):
-                        done.append("\n".join(waiting))
-                        waiting = None
-                if len(starts) and state:
-                    waiting = lines.slice(starts[-1], high - starts[-1]).to_pylist()
-                    starts, ends = starts[:-1], ends[:-1]
-                if not done and (ends - starts == 1).all():
-                    found = lines.take(pa.array(starts))
-                else:
-                    values = lines.slice(low, high - low).to_pylist()
-                    for start, end in zip((starts - low).tolist(), (ends - low).tolist(), strict=True):
-                        done.append("\n".join(values[start:end]))
-                    found = pa.array(done, pa.string())
-                if len(found):
-                    firsts = np.zeros(len(found), bool)
-                    firsts[0], first = first, False
-                    yield pa.RecordBatch.from_arrays([pa.array(firsts), found], ["first", "record"])
-        finished()
-
-    return run
-
-
-def _cut_lines(lines: DataFrame, separator: str, begins: Column, whole_files: bool) -> DataFrame:
+    here, state, first, waiting = None, 0, False, None
+
+    for batch in batches:
+        names, splits, begins, codes = (batch[c].to_numpy(False) for c in range(4))
+        lines = batch["line"]
+        turns = np.flatnonzero((names[1:] != names[:-1]) | (splits[1:] != splits[:-1])) + 1
+        for low, high in zip([0, *turns], [*turns, len(batch)], strict=True):
+            place = (int(names[low]), int(splits[low]))
+            if place != here:
+                here, state, waiting = place, int(begins[low]), None
+                first = place[1] == 0
+            before, state = _states(codes[low:high], state)
+            starts = low + np.flatnonzero(before == 0)
+            ends = np.append(starts[1:], high)
+            done = []
+            if waiting is not None:
+                until = starts[0] if len(starts) else high
+                waiting += lines.slice(low, until - low).to_pylist()
+                if len(starts):
+                    done.append("\n".join(waiting))
+                    waiting = None
+            if len(starts) and state:
+                waiting = lines.slice(starts[-1], high - starts[-1]).to_pylist()
+                starts, ends = starts[:-1], ends[:-1]
+            if not done and (ends - starts == 1).all():
+                found = lines.take(pa.array(starts))
+            else:
+                values = lines.slice(low, high - low).to_pylist()
+                for start, end in zip((starts - low).tolist(), (ends - low).tolist(), strict=True):
+                    done.append("\n".join(values[start:end]))
+                found = pa.array(done, pa.string())
+            if len(found):
+                firsts = np.zeros(len(found), bool)
+                firsts[0], first = first, False
+                yield pa.RecordBatch.from_arrays([pa.array(firsts), found], ["first", "record"])
+
+
+def _cut_lines(lines: DataFrame, separator: str, begins: Column) -> DataFrame:
     return lines.select(
         F.xxhash64("file").alias("name"),
         "split",
         begins.alias("begins"),
         quote_effect(F.col("line"), separator).alias("code"),
         "line",
-    ).mapInArrow(_cut(whole_files), "first boolean, record string")
+    ).mapInArrow(_cut, "first boolean, record string")
 
 
 def _crossing(lines: DataFrame, splits: DataFrame) -> DataFrame:
@@ -250,16 +233,36 @@ def records(spark: SparkSession, path: str, separator: str, header: bool) -> Dat
     lines = read_lines(spark.read, path).withColumn("at", F.monotonically_increasing_id())
     splits = splits_of(lines, separator)
     known = lines.join(F.broadcast(splits.select(*_SPLIT, "begins")), _SPLIT)
-    inner = _cut_lines(known, separator, F.col("begins"), whole_files=False)
+    inner = _cut_lines(known, separator, F.col("begins"))
     return _finished(inner.union(_crossing(lines, splits)), header)
 
 
-def stream_records(lines: DataFrame, separator: str, header: bool) -> DataFrame:
-    """``record`` of streamed lines. Each file must fit a split; a larger one is an error."""
-    return _finished(_cut_lines(lines, separator, F.lit(0), whole_files=True), header)
+def stream_records(
+    reader, path: str, separator: str, header: bool, options: dict[str, str], n_fields: int
+) -> DataFrame:
+    """``record`` of streamed files, which Spark's CSV reader cuts.
+
+    A batch of a stream sees each split once, so here a file is one task's, which reads it
+    record by record whatever its size; the files of a batch are read in parallel. With a
+    field more than records have none fits, and the reader hands out what it was parsing.
+    """
+    raw, fields = "_record", [f"_{i}" for i in range(n_fields + 1)]
+    reader = reader.options(**options).option("header", header).option("multiLine", True)
+    reader = reader.option("lineSep", "\n").option("columnNameOfCorruptRecord", raw)
+    found = reader.schema(", ".join(f"{c} string" for c in [*fields, raw])).csv(path)
+    more = F.concat(F.lit("more fields than columns: "), F.concat_ws(separator, *fields))
+    shown = F.concat(F.lit("unclosed quote: "), F.substring(raw, 1, 200))
+    open_ = quote_effect(F.col(raw), separator).bitwiseAND(F.lit(1)) == 1
+    record = F.when(open_, F.raise_error(shown).cast("string")).otherwise(
+        F.coalesce(F.col(raw), F.raise_error(more).cast("string"))
+    )
+    return _whole(found.select(record.alias("record")))
 
 
 def _finished(found: DataFrame, header: bool) -> DataFrame:
+    return _whole(found.where("NOT first") if header else found)
+
+
+def _whole(found: DataFrame) -> DataFrame:
     record = F.regexp_replace("record", r"\r\z", "")
-    kept = found.where("NOT first") if header else found
-    return kept.select(record.alias("record")).where("record <> ''")
+    return found.select(record.alias("record")).where("record <> ''")

@@ -30,7 +30,7 @@ def stream_corpus(
 
     Unpacking, cleanup and encoding are row-wise and apply to the stream as
     they do to a table. Records are checked as :func:`read_corpus` checks them. With
-    ``multi_line`` a file must not be larger than ``spark.sql.files.maxPartitionBytes``.
+    ``multi_line`` each file is read by one task, record by record, whatever its size.
     """
     kind = check_file_type(file_type)
     reader = spark.readStream
