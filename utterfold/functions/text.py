@@ -110,8 +110,15 @@ def kept_tokens(
     cleaned: Column, remove_stopwords: bool = True, words: Iterable[str] = ENGLISH_STOPWORDS
 ) -> Column:
     """Alphanumeric tokens in order, stopwords dropped on request."""
+    return kept_of(_spaced(cleaned), remove_stopwords, words)
+
+
+def kept_of(
+    raw: Column, remove_stopwords: bool = True, words: Iterable[str] = ENGLISH_STOPWORDS
+) -> Column:
+    """As :func:`kept_tokens`, of :func:`raw_tokens` already at hand."""
     words = list(words) if remove_stopwords else []
-    return F.filter(_spaced(cleaned), lambda token: is_alnum(token) & ~is_stopword(token, words))
+    return F.filter(raw, lambda token: is_alnum(token) & ~is_stopword(token, words))
 
 
 def truncate_tokens(col: Column, max_len: int = 128) -> Column:

@@ -45,7 +45,12 @@ def _items(df: DataFrame, text_col: str, label: Column, words: Iterable[str], si
     missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in df.columns]
 
     def of_tokens(raw: Column) -> Column:
-        return F.transform(raw, lambda token, i: _item(_TERM, token, i))
+        n_words = F.size(F.filter(raw, lambda token: token != ""))
+        return F.concat(
+            F.array(_item(_WORD, label, n_words)),
+            F.transform(raw, lambda token, i: _item(_TERM, token, i)),
+            bind(T.kept_of(raw, True, words), of_bag),
+        )
 
     def of_size(bag: Column, n: int) -> Column:
         return F.transform(gram_buckets(bag, n), lambda b: _item(_GRAM + n, none, b))
@@ -54,11 +59,8 @@ def _items(df: DataFrame, text_col: str, label: Column, words: Iterable[str], si
         return F.concat(*[of_size(bag, n) for n in sizes])
 
     return F.concat(
-        F.array(
-            _item(_CHAR, label, T.char_length(text)), _item(_WORD, label, T.word_length(text))
-        ),
+        F.array(_item(_CHAR, label, T.char_length(text))),
         bind(T.raw_tokens(text), of_tokens),
-        bind(T.kept_tokens(text, True, words), of_bag),
         F.transform(
             F.filter(F.array(*missing), lambda c: c.isNotNull()),
             lambda c: _item(_MISSING, c, F.lit(0)),

@@ -14,6 +14,7 @@ from ..operators.cleanup import apply_cleanup
 from ..operators.lookup import free_name
 from ..operators.ngrams import leading_ngrams, token_bags
 from ..operators.one_scan import scan_once
+from ..session import cut_lineage
 
 _SIZES = (2, 3)
 
@@ -30,14 +31,15 @@ def run_profile(
 ) -> dict[str, DataFrame]:
     """Every analysis of a corpus, by name.
 
-    ``clean`` removes punctuation from the text and drops incomplete rows first.
+    ``clean`` removes punctuation from the text and drops incomplete rows first; the cleaned
+    rows are written once.
 
     The corpus is read and tokenised twice: once for all counts, which go to the shared
     folder, and once for the n-grams that can be among the most frequent ones. Only the
     first rows are read a third time, as they are.
     """
     if clean:
-        df = apply_cleanup(df, clean_punct, [text_col])
+        df = cut_lineage(apply_cleanup(df, clean_punct, [text_col]))
     words = list(words)
     counts = scan_once(df, row_id, text_col, label_col, words, _SIZES)
     lengths, terms = counts.lengths, counts.terms
