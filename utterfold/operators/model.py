@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import MULTICLASS, MULTILABEL
 from ..functions import text as T
+from ..functions.vectors import bind
 from ..session import cut_lineage
 from .joint_fit import fit_joint
 from .scoring import Scorer, score_with
@@ -27,9 +28,26 @@ MAX_MODEL_LABELS = 10_000
 REG_PARAM = 1e-3
 
 
+#: Characters per wanted token that are cleaned first, before the whole text.
+_FIRST_CHARS = 10
+
+
 def model_tokens(text: Column, max_tokens: int = 128) -> Column:
-    """The word tokens a model sees: both cleanups, then truncation."""
-    return T.truncate_tokens(T.tokens(T.clean_punct(T.clean_basic(text))), max_tokens)
+    """The word tokens a model sees: both cleanups, then truncation.
+
+    No cleanup or token reaches across a space, so the tokens up to a space are the first
+    ones of the text. A long text is cleaned whole only if its beginning holds too few.
+    """
+
+    def words(part: Column) -> Column:
+        return T.truncate_tokens(T.tokens(T.clean_punct(T.clean_basic(part))), max_tokens)
+
+    size = _FIRST_CHARS * max_tokens
+    head = F.substring(text, 1, size)
+    partial = F.length(F.substring_index(head, " ", -1))
+    whole = F.substring(head, F.lit(1), F.length(head) - partial)
+    long = bind(words(whole), lambda w: F.when(F.size(w) == max_tokens, w).otherwise(words(text)))
+    return F.when(F.length(text) > size, long).otherwise(words(text))
 
 
 def feature_pipeline(
