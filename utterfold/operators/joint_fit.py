@@ -32,11 +32,17 @@ MAX_COEFFICIENTS = 1 << 24
 BLOCK_ROWS, SLICE_LABELS, CHUNK = 512, 64, 1 << 16
 HISTORY = 8
 
-_BLOCK = "ptr binary, idx binary, val binary, label_ptr binary, label_idx binary"
+_BLOCK = (
+    "ptr binary, idx binary, val binary, label_ptr binary, label_idx binary, "
+    "by_bin binary, bin_starts binary"
+)
 
 
 def _stored_blocks(rows: DataFrame) -> DataFrame:
-    """``features, labels`` as blocks: row starts, bins and values; starts and positive labels."""
+    """``features, labels`` as blocks: row starts, bins and values; starts and positive labels.
+
+    The order of a block's values by their bins is stored too, for every pass needs it.
+    """
     positive = F.filter(
         F.transform("labels", lambda y, i: F.when(y > 0, i)), lambda i: i.isNotNull()
     )
@@ -54,12 +60,16 @@ def _stored_blocks(rows: DataFrame) -> DataFrame:
                     bins.append(index[value != 0].astype("<i4"))
                     values.append(value[value != 0])
                 labels = [np.array(x, "<i4") for x in part["positive"].to_pylist()]
+                all_bins = np.concatenate(bins)
+                by_bin = np.argsort(all_bins, kind="stable")
                 row = [
                     np.cumsum([0, *map(len, bins)]).astype("<i8"),
-                    np.concatenate(bins),
+                    all_bins,
                     np.concatenate(values),
                     np.cumsum([0, *map(len, labels)]).astype("<i8"),
                     np.concatenate(labels),
+                    by_bin.astype("<i4"),
+                    np.flatnonzero(np.diff(all_bins[by_bin], prepend=-1)).astype("<i4"),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.tobytes()], pa.binary()) for x in row],
@@ -85,12 +95,18 @@ class _Block:
     label_idx: np.ndarray
 
     @staticmethod
-    def read(ptr: bytes, idx: bytes, val: bytes, label_ptr: bytes, label_idx: bytes) -> _Block:
+    def read(
+        ptr: bytes,
+        idx: bytes,
+        val: bytes,
+        label_ptr: bytes,
+        label_idx: bytes,
+        by_bin: bytes,
+        bin_starts: bytes,
+    ) -> _Block:
         starts = np.frombuffer(ptr, "<i8")
         bins, values = np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f8")
         sizes = np.diff(starts)
-        by_bin = np.argsort(bins, kind="stable")
-        changes = np.flatnonzero(np.diff(bins[by_bin], prepend=-1))
         label_sizes = np.diff(np.frombuffer(label_ptr, "<i8"))
         return _Block(
             len(sizes),
@@ -99,8 +115,8 @@ class _Block:
             np.repeat(np.arange(len(sizes)), sizes),
             np.flatnonzero(sizes),
             starts[:-1][sizes > 0],
-            by_bin,
-            changes,
+            np.frombuffer(by_bin, "<i4"),
+            np.frombuffer(bin_starts, "<i4"),
             np.repeat(np.arange(len(sizes)), label_sizes),
             np.frombuffer(label_idx, "<i4"),
         )
