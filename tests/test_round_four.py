@@ -1,9 +1,17 @@
 """What grows with the data in round four: features, streams, fits and profiles."""
 
+import random
+
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 from test_records import SETTING, delimited
 
+from utterfold.functions import text as T
+from utterfold.operators.joint_fit import _Block, _stored_blocks
+from utterfold.operators.model import model_tokens
+from utterfold.operators.one_scan import _items
 from utterfold.registry import QUERIES
 from utterfold.sources import files
 from utterfold.streaming.corpus import stream_corpus
@@ -83,3 +91,31 @@ def test_streamed_records_with_more_fields_fail(spark, tmp_path, extra):
     with pytest.raises(Exception, match="more fields than columns"):
         rows = stream_corpus(spark, str(tmp_path / "in"), ["x", "y"], "csv")
         drained(spark, rows, tmp_path, "out")
+
+
+def test_tokens_of_a_long_text_are_those_of_its_beginning(spark):
+    rng = random.Random(3)
+    parts = [" ", "  ", "\n", " ", "cannot", "«", "»", "ΑΣ", "lemme", "gonna", "-", "a", "é"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([0, 5, 60, 200]))) for _ in range(300)]
+    rows = [(t,) for t in [*texts, None, "x" * 500, "x" * 500 + " a b", "- " * 300 + "a b"]]
+    df = spark.createDataFrame(rows, "text string")
+    for n in (1, 3, 20):
+        whole = T.truncate_tokens(T.tokens(T.clean_punct(T.clean_basic(F.col("text")))), n)
+        got = model_tokens(F.col("text"), n)
+        assert df.where(~got.eqNullSafe(whole)).count() == 0
+        assert "substring_index" in df.select(got)._jdf.queryExecution().analyzed().toString()
+
+
+def test_blocks_keep_the_order_of_their_bins(spark):
+    rows = [(Vectors.sparse(9, {7: 1.0, 2: 2.0}), [1.0]), (Vectors.sparse(9, {2: 3.0}), [0.0])]
+    stored = _stored_blocks(spark.createDataFrame(rows, ["features", "labels"]).coalesce(1))
+    (row,) = stored.collect()
+    block = _Block.read(*row)
+    assert block.bins.tolist() == [2, 7, 2] and block.by_bin.tolist() == [0, 2, 1]
+    assert block.bin_starts.tolist() == [0, 2]
+
+
+def test_a_profile_splits_each_text_once(spark):
+    df = spark.createDataFrame([(1, "a b", "x")], "id int, text string, label string")
+    items = str(_items(df, "text", F.col("label"), ["the"], (2, 3)))
+    assert items.count("split(") == 1

@@ -111,9 +111,12 @@ def _settled(rows, model, probabilities, label_map):
     feature. It may be off by a hundredth of what a model without features leaves, so one
     that has only an intercept does not pass. ``rows`` has ``labels``, multi-hot.
     """
-    scored = model.features.transform(with_tokens(model.transform(rows)))
-    found = scored.select(
-        probabilities.alias("p"), "labels", F.unwrap_udt("features").alias("f")
+    # written once: four passes follow, and none of them cleans text again
+    scored = with_tokens(cut_lineage(model.transform(rows)))
+    found = cut_lineage(
+        model.features.transform(scored).select(
+            probabilities.alias("p"), "labels", F.unwrap_udt("features").alias("f")
+        )
     )
     n = found.count()
     per_bin = found.select(
