@@ -33,110 +33,151 @@ BLOCK_ROWS, SLICE_LABELS, CHUNK = 512, 64, 1 << 16
 HISTORY = 8
 
 _BLOCK = (
-    "ptr binary, idx binary, val binary, label_ptr binary, label_idx binary, "
-    "by_bin binary, bin_starts binary"
+    "ptr binary, held binary, place binary, val binary, label_ptr binary, label_idx binary"
 )
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes that hold them all."""
+    most = numbers.max(initial=0)
+    kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+    return numbers.astype(kind).tobytes()
+
+
+def _wide(stored: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of :func:`_narrow`."""
+    kind = {1: "<u1", 2: "<u2", 4: "<u4"}[len(stored) // n] if n else "<u1"
+    return np.frombuffer(stored, kind).astype(np.intp)
+
+
+def _narrow_values(values: np.ndarray) -> bytes:
+    """Values as they are, or in a byte each if all are whole and small, as counts are."""
+    small = ((values >= 0) & (values < 256)).all() and (values == np.floor(values)).all()
+    return values.astype("<u1" if small else "<f8").tobytes()
+
+
+def _rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a column of lists, and how many each row has; null is an empty list."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes.astype(np.int64)
+
+
 def _stored_blocks(rows: DataFrame) -> DataFrame:
     """``features, labels`` as blocks: row starts, bins and values; starts and positive labels.
 
-    The order of a block's values by their bins is stored too, for every pass needs it.
+    A block names the bins it holds once, and each value by its bin's place among them. The
+    blocks are dealt evenly, for the slowest task ends a pass.
     """
     positive = F.filter(
         F.transform("labels", lambda y, i: F.when(y > 0, i)), lambda i: i.isNotNull()
     )
-    plain = rows.select(F.unwrap_udt("features").alias("features"), positive.alias("positive"))
+    vector = F.unwrap_udt("features")
+    every = F.sequence(F.lit(0), F.greatest(F.size(vector["values"]), F.lit(1)) - 1)
+    plain = rows.select(
+        F.coalesce(vector["indices"], F.slice(every, F.lit(1), F.size(vector["values"]))).alias(
+            "indices"
+        ),
+        vector["values"].alias("values"),
+        positive.alias("positive"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
-                bins, values = [], []
-                for vector in part["features"].to_pylist():
-                    value = np.array(vector["values"], np.float64)
-                    found = vector["indices"]
-                    index = np.arange(len(value)) if found is None else np.array(found, np.int32)
-                    bins.append(index[value != 0].astype("<i4"))
-                    values.append(value[value != 0])
-                labels = [np.array(x, "<i4") for x in part["positive"].to_pylist()]
-                all_bins = np.concatenate(bins)
-                by_bin = np.argsort(all_bins, kind="stable")
+                all_bins, sizes = _rows_of(part["indices"])
+                values, _ = _rows_of(part["values"])
+                labels, label_sizes = _rows_of(part["positive"])
+                used = values != 0
+                row_of = np.repeat(np.arange(len(sizes)), sizes)[used]
+                all_bins, values = all_bins[used], values[used]
+                held, place = np.unique(all_bins, return_inverse=True)
                 row = [
-                    np.cumsum([0, *map(len, bins)]).astype("<i8"),
-                    all_bins,
-                    np.concatenate(values),
-                    np.cumsum([0, *map(len, labels)]).astype("<i8"),
-                    np.concatenate(labels),
-                    by_bin.astype("<i4"),
-                    np.flatnonzero(np.diff(all_bins[by_bin], prepend=-1)).astype("<i4"),
+                    np.cumsum([0, *np.bincount(row_of, minlength=len(sizes))]).astype("<i8"),
+                    held.astype("<i4"),
+                    _narrow(place),
+                    _narrow_values(values),
+                    np.cumsum([0, *label_sizes]).astype("<i8"),
+                    labels.astype("<i4"),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()], pa.binary()) for x in row],
+                    [pa.array([bytes(x)], pa.binary()) for x in row],
                     [c.split()[0] for c in _BLOCK.split(", ")],
                 )
 
-    return cut_lineage(plain.mapInArrow(run, _BLOCK))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(plain.mapInArrow(run, _BLOCK).repartition(cores))
 
 
 @dataclass
 class _Block:
-    """A block's rows, with its non-zero values in the order of their bins too."""
+    """A block's rows: the bins that occur, and for each value which of them is its own."""
 
     n: int
-    bins: np.ndarray
+    held: np.ndarray
+    place: np.ndarray
     values: np.ndarray
     row_of: np.ndarray
     filled: np.ndarray
     starts: np.ndarray
-    by_bin: np.ndarray
-    bin_starts: np.ndarray
     label_row: np.ndarray
     label_idx: np.ndarray
 
     @staticmethod
     def read(
-        ptr: bytes,
-        idx: bytes,
-        val: bytes,
-        label_ptr: bytes,
-        label_idx: bytes,
-        by_bin: bytes,
-        bin_starts: bytes,
+        ptr: bytes, held: bytes, place: bytes, val: bytes, label_ptr: bytes, label_idx: bytes
     ) -> _Block:
         starts = np.frombuffer(ptr, "<i8")
-        bins, values = np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f8")
+        n = int(starts[-1])
         sizes = np.diff(starts)
         label_sizes = np.diff(np.frombuffer(label_ptr, "<i8"))
         return _Block(
             len(sizes),
-            bins,
-            values,
+            np.frombuffer(held, "<i4"),
+            _wide(place, n),
+            np.frombuffer(val, "<u1" if len(val) == n else "<f8").astype(np.float64),
             np.repeat(np.arange(len(sizes)), sizes),
             np.flatnonzero(sizes),
             starts[:-1][sizes > 0],
-            np.frombuffer(by_bin, "<i4"),
-            np.frombuffer(bin_starts, "<i4"),
             np.repeat(np.arange(len(sizes)), label_sizes),
             np.frombuffer(label_idx, "<i4"),
         )
 
+    @property
+    def bins(self) -> np.ndarray:
+        return self.held[self.place]
+
+    @property
+    def by_bin(self) -> np.ndarray:
+        """The order of the values by their bins."""
+        return np.argsort(self.place, kind="stable")
+
+    @property
+    def bin_starts(self) -> np.ndarray:
+        """Where in that order each bin that occurs begins."""
+        sizes = np.bincount(self.place, minlength=len(self.held))
+        return np.cumsum(sizes) - sizes
+
     def margins(self, weights: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
-        """Rows by labels; ``weights`` has a row per bin."""
-        out = np.tile(intercepts, (self.n, 1))
-        if len(self.bins):
-            terms = weights[self.bins] * self.values[:, None]
-            out[self.filled] += np.add.reduceat(terms, self.starts, axis=0)
+        """Labels by rows; ``weights`` has a row per label.
+
+        Label by label, so that every step runs along memory.
+        """
+        out = np.repeat(intercepts[:, None], self.n, axis=1)
+        if len(self.place):
+            for own, found in zip(weights, out, strict=True):
+                terms = own.take(self.held).take(self.place)
+                terms *= self.values
+                found[self.filled] += np.add.reduceat(terms, self.starts)
         return out
 
     def add_by_bin(self, per_row: np.ndarray, out: np.ndarray) -> None:
-        """Add each row's numbers times its values to the rows' bins."""
-        if len(self.bins):
-            order = self.by_bin
-            terms = per_row[self.row_of[order]] * self.values[order][:, None]
-            out[self.bins[order][self.bin_starts]] += np.add.reduceat(
-                terms, self.bin_starts, axis=0
-            )
+        """Add each row's numbers times its values to the rows' bins, label by label."""
+        if len(self.place):
+            for own, total in zip(per_row, out, strict=True):
+                terms = own.take(self.row_of)
+                terms *= self.values
+                total[self.held] += np.bincount(self.place, terms, len(self.held))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
@@ -189,8 +230,10 @@ def _statistics(blocks: DataFrame, d: int, k: int) -> tuple[int, np.ndarray, np.
         sums, n, positives = np.zeros((d, 2)), 0, np.zeros(k)
         for block in found:
             n += block.n
-            sums[:, 0] += np.bincount(block.bins, block.values, d)
-            sums[:, 1] += np.bincount(block.bins, block.values**2, d)
+            held, size = block.held, len(block.held)
+            if size:
+                sums[held, 0] += np.bincount(block.place, block.values, size)
+                sums[held, 1] += np.bincount(block.place, block.values**2, size)
             positives += np.bincount(block.label_idx, minlength=k)
         yield np.concatenate([[n], positives, sums.ravel()])
 
@@ -214,8 +257,7 @@ class _Problem:
     def __call__(self, points: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.passes += 1
         d, k = len(self.inverse), len(active)
-        # a row per bin, so that a value's bin is one stretch of memory
-        raw = np.ascontiguousarray((points[:, :d] * self.inverse).T)
+        raw = points[:, :d] * self.inverse
         shared = self.blocks.sparkSession.sparkContext.broadcast((raw, points[:, d].copy(), active))
 
         def sums_of(found: Iterator[_Block]) -> Iterator[np.ndarray]:
@@ -226,24 +268,26 @@ class _Problem:
                 (low, min(low + SLICE_LABELS, len(labels)))
                 for low in range(0, len(labels), SLICE_LABELS)
             ]
-            parts = [np.ascontiguousarray(weights[:, low:high]) for low, high in slices]
             # per label the slopes of the bins, the slope of the intercept, and the loss
-            sums = [np.zeros((d + 2, high - low)) for low, high in slices]
+            sums = np.zeros((len(labels), d + 2))
             for block in found:
                 at = np.full(len(block.label_idx), -1)
                 known = block.label_idx < len(place)
                 at[known] = place[block.label_idx[known]]
-                for (low, high), part, total in zip(slices, parts, sums, strict=True):
-                    margins = block.margins(part, intercepts[low:high])
+                for low, high in slices:
+                    margins = block.margins(weights[low:high], intercepts[low:high])
                     inside = (at >= low) & (at < high)
                     truth = np.zeros(margins.shape)
-                    truth[block.label_row[inside], at[inside] - low] = 1.0
-                    differ = 1.0 / (1.0 + np.exp(-np.clip(margins, -700, 700))) - truth
-                    block.add_by_bin(differ, total)
-                    total[d] += differ.sum(axis=0)
-                    total[d + 1] += (np.logaddexp(0.0, margins) - truth * margins).sum(axis=0)
-            for total in sums:
-                yield total.T.ravel()
+                    truth[at[inside] - low, block.label_row[inside]] = 1.0
+                    small = np.exp(-np.abs(margins))
+                    share = np.where(margins >= 0, 1.0, small) / (1.0 + small)
+                    differ = share - truth
+                    total = sums[low:high]
+                    block.add_by_bin(differ, total[:, :d])
+                    total[:, d] += differ.sum(axis=1)
+                    loss = np.maximum(margins, 0.0) + np.log1p(small) - truth * margins
+                    total[:, d + 1] += loss.sum(axis=1)
+            yield from sums
 
         total = _summed(self.blocks, sums_of, k * (d + 2)).reshape(k, d + 2) / self.n
         shared.destroy()
@@ -328,10 +372,12 @@ def fit_joint(
     penalty: float,
     max_iter: int,
     tolerance: float = 1e-7,
+    scale: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients (labels by features), intercepts, and which labels were fitted.
 
-    ``rows`` has ``features`` (a vector) and ``labels`` (multi-hot). A label that every row
+    ``rows`` has ``features`` (a vector) and ``labels`` (multi-hot). With ``scale`` the
+    coefficients are those of the features times their scale. A label that every row
     has, or none, is not fitted: its intercept comes from smoothed odds.
     """
     if n_labels * n_features > MAX_COEFFICIENTS:
@@ -341,6 +387,9 @@ def fit_joint(
         )
     blocks = _stored_blocks(rows)
     n, positives, deviation = _statistics(blocks, n_features, n_labels)
+    scale = np.ones(n_features) if scale is None else scale
+    # a scale of 0 makes a feature constant
+    deviation = np.where(scale == 0, 0.0, deviation)
     coefficients = np.zeros((n_labels, n_features))
     varied = (positives > 0) & (positives < n)
     intercepts = np.log((positives + 1) / (n - positives + 1))
@@ -355,6 +404,6 @@ def fit_joint(
             return problem(points, fitted[active])
 
         found = solve_jointly(of_rows, start, max_iter, tolerance)
-        coefficients[fitted] = found[:, :-1] * problem.inverse
+        coefficients[fitted] = found[:, :-1] * problem.inverse / np.where(scale == 0, 1.0, scale)
         intercepts[fitted] = found[:, -1]
     return coefficients, intercepts, varied

@@ -180,7 +180,7 @@ def _regression(max_iter: int, reg_param: float) -> LogisticRegression:
 def _training_features(
     df: DataFrame, text_col: str, max_tokens: int, options: dict
 ) -> tuple[DataFrame, PipelineModel]:
-    """Features and fitted pipeline.
+    """Counts, features and fitted pipeline.
 
     The truncated tokens are all a fit needs of the text; they are written once
     and every pass of the fit reads them instead of cleaning text again.
@@ -189,7 +189,7 @@ def _training_features(
         df.select("labels", model_tokens(F.col(text_col), max_tokens).alias("tokens"))
     )
     fitted = feature_pipeline(**options).fit(tokens)
-    return fitted.transform(tokens).select("features", "labels"), fitted
+    return fitted.transform(tokens).select("tf", "features", "labels"), fitted
 
 
 def fit_multiclass(
@@ -229,8 +229,15 @@ def fit_multilabel(
     """
     labels = _label_list(label_map)
     features, pipeline = _training_features(df, text_col, max_tokens, options)
+    # a feature is a count times its bin's weight; counts take an eighth of the room
+    counts = features.select(F.col("tf").alias("features"), "labels")
     coefficients, intercepts, fitted = fit_joint(
-        features, len(labels), _n_features(pipeline), reg_param, max_iter
+        counts,
+        len(labels),
+        _n_features(pipeline),
+        reg_param,
+        max_iter,
+        scale=pipeline.stages[1].idf.toArray(),
     )
     regression = _regression_of(df.sparkSession, coefficients, intercepts)
     heads = [
